@@ -89,23 +89,16 @@ def salted_join(
     hot = few.where(F.col(weight) > per_salt).select(
         *keys, F.ceil(F.col(weight) / F.lit(per_salt)).cast("int").alias("_shares")
     )
-    total = few.select(
-        "*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(weight) / F.lit(per_salt)).cast("int") - 1))).alias("_salt")
-    )
-    marked = many.join(F.broadcast(hot), keys, "left") if _fits(hot) else many.join(hot, keys, "left")
-    marked = marked.withColumn(
-        "_salt",
-        F.when(F.col("_shares").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*[c for c in many.columns if c not in keys]), F.col("_shares")).cast("int")
-        ),
-    ).drop("_shares")
-    return marked.join(total, [*keys, "_salt"], how).drop("_salt")
-
-
-def _fits(df: DataFrame, row_bytes: int = 64) -> bool:
-    """Whether a side is proven small enough to be broadcast: it is counted up to the limit."""
-    limit = BROADCAST_BYTES // row_bytes
-    return df.limit(limit + 1).count() <= limit
+    limit = BROADCAST_BYTES // 128
+    n_hot = hot.limit(limit + 1).count()
+    if not n_hot:
+        return many.join(few, keys, how)
+    share = F.greatest(F.lit(0), F.ceil(F.col(weight) / F.lit(per_salt)).cast("int") - 1)
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), share)))
+    marked = many.join(F.broadcast(hot) if n_hot <= limit else hot, keys, "left")
+    others = [c for c in many.columns if c not in keys]
+    marked = marked.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_shares")).cast("int"), F.lit(0))).drop("_shares")
+    return marked.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
