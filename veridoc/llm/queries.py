@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import packing, tokens
+from veridoc.llm import copies, packing, tokens
 from veridoc.runtime import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.found(table(spark, d, "documents"), table(spark, d, "raw_manifest"))
+
+
+def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collapsed(table(spark, d, "documents"), table(spark, d, "raw_manifest"))
+
+
 def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_tokens(table(spark, d, "documents"), table(spark, d, "manifest"), table(spark, d, "source_registry"))
 
@@ -35,7 +43,7 @@ def p8_packing_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_document_tokens, p4_token_budget, p7_ids, p8_packed, p8_packing_report)
+    f.__name__: f for f in (p2_found, p2_collapsed, p4_document_tokens, p4_token_budget, p7_ids, p8_packed, p8_packing_report)
 }
 
 SQL: dict[str, str] = {}
