@@ -261,7 +261,8 @@ class ByteBPE:
         array, per_text = self.pieces(texts)
         if not len(array):
             return per_text
-        return self._sum(self.count[self._codes(array.dictionary)[array.indices.to_numpy()]].astype(np.int64), per_text)
+        code = self._codes(array.dictionary)[array.indices.to_numpy()]  # before self.count is read: it may be replaced
+        return self._sum(self.count[code].astype(np.int64), per_text)
 
     @staticmethod
     def _sum(count: np.ndarray, per_text: np.ndarray) -> np.ndarray:
