@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import copies, packing, tokens
+from veridoc.llm import copies, packing, sampling, tokens
 from veridoc.runtime import table
 
 
@@ -26,6 +26,18 @@ def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(p4_document_tokens(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.unmet(table(spark, d, "source_metadata"), table(spark, d, "sample_targets"))
+
+
+def p5_target_report(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.report(table(spark, d, "source_metadata"), table(spark, d, "sample_targets"))
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample(table(spark, d, "source_metadata"), table(spark, d, "sample_targets"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -43,7 +55,7 @@ def p8_packing_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_collapsed, p4_document_tokens, p4_token_budget, p7_ids, p8_packed, p8_packing_report)
+    f.__name__: f for f in (p2_found, p2_collapsed, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p7_ids, p8_packed, p8_packing_report)
 }
 
 SQL: dict[str, str] = {}
