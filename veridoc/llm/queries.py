@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import copies, packing, sampling, tokens
+from veridoc.llm import copies, near, packing, sampling, tokens
 from veridoc.runtime import table
 
 
@@ -38,6 +38,14 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample(table(spark, d, "source_metadata"), table(spark, d, "sample_targets"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_pairs(table(spark, d, "documents"), run=4, similarity=0.55)
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.groups(table(spark, d, "documents"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -55,7 +63,7 @@ def p8_packing_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_collapsed, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p7_ids, p8_packed, p8_packing_report)
+    f.__name__: f for f in (p2_found, p2_collapsed, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report)
 }
 
 SQL: dict[str, str] = {}
