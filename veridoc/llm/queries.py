@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import copies, near, packing, sampling, tokens
+from veridoc.llm import copies, leaks, near, packing, sampling, tokens
 from veridoc.runtime import table
 
 
@@ -18,6 +18,18 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "documents"), table(spark, d, "raw_manifest"))
 
 
+def p3_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "manifest"), table(spark, d, "eval_items"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.exact(p3_leaks(spark, d))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.report(p3_leaks(spark, d))
+
+
 def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_tokens(table(spark, d, "documents"), table(spark, d, "manifest"), table(spark, d, "source_registry"))
 
@@ -63,7 +75,7 @@ def p8_packing_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_collapsed, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report)
+    f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report)
 }
 
 SQL: dict[str, str] = {}
