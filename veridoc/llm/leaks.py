@@ -8,8 +8,8 @@ Nystrom sketch of the Gram matrix summed over all tiles) gives the latent space.
 
 The search is lossless for exact leaks: for a tile t that holds window q, <t, q> >= |q|^2, and
 <t, q> <= <z_t, z_q> + r_t r_q with the latent vectors z and the lengths r of what the projection
-dropped. A pair is a candidate if that bound allows an exact leak or if its latent cosine reaches the
-paraphrase limit. Candidates are then checked on the words of the whole document: longest
+dropped. A pair is a candidate if that bound allows an exact leak or if its latent product and cosine
+with a longer passage of an evaluation text reach the paraphrase limits. Candidates are then checked on the words of the whole document: longest
 common run, longest common subsequence, and whether an answer of the item occurs.
 """
 
@@ -29,8 +29,11 @@ from veridoc.runtime import BROADCAST_BYTES, materialise
 RUN = 8
 TILE, STRIDE = 32, 25
 RANK, OVERSAMPLE = 96, 16
-#: Latent cosine from which a tile is checked for a paraphrase, and the shares that make it one.
-PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.75, 0.7
+#: A tile is checked for a paraphrase of a passage p from this latent cosine and from this share of |p|^2 on.
+PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.6, 0.5
+#: Share of a text's words in the longest common subsequence that makes a paraphrase.
+PARAPHRASE_LCS = 0.7
+PASSAGE_STRIDE = 8
 #: Bound of the evaluation side: words over all its texts (the driver and each worker hold them).
 MAX_EVALUATION_WORDS = 5_000_000
 CHUNK_CHARS = 1 << 20
@@ -62,6 +65,16 @@ class Evaluation:
                     owners.append(n)
         self.windows = np.array(list(windows), np.int64).reshape(-1, run)
         self.owners = list(windows.values())
+        self.numbers = {w: n for n, w in enumerate(windows)}
+        passages: dict[tuple[int, ...], list[int]] = {}
+        for n, text in enumerate(self.words):
+            ids = [self.vocabulary[w] for w in text]
+            for i in range(0, max(1, len(ids) - TILE + PASSAGE_STRIDE), PASSAGE_STRIDE) if ids else ():
+                owners = passages.setdefault(tuple(ids[i : i + TILE]), [])
+                if not owners or owners[-1] != n:
+                    owners.append(n)
+        self.passages = list(passages)
+        self.passage_owners = list(passages.values())
 
 
 def occurrences(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,45 +239,52 @@ def candidates(held: DataFrame, evaluation: Evaluation, rank: int = RANK) -> Dat
     zq, q2 = _vectors(q_token, q_starts, idf, basis)
     rq = np.sqrt(np.maximum(q2 - (zq.astype(float) ** 2).sum(1), 0))
     order = np.argsort(q2)
-    owners = [evaluation.owners[i] for i in order]
-    flat = np.concatenate([np.array(o, np.int32) for o in owners])
-    first = np.cumsum([0, *map(len, owners)])
-    shared = spark.sparkContext.broadcast((idf, basis.astype(np.float32), zq[order], q2[order], rq[order], flat, first))
+    exact = (zq[order], q2[order], rq[order], *_flat([evaluation.owners[i] for i in order]))
+    lengths = np.array([len(x) for x in evaluation.passages])
+    zp, p2 = _vectors(np.concatenate([np.array(x) for x in evaluation.passages]), np.cumsum(lengths) - lengths, idf, basis)
+    order = np.argsort(p2)
+    loose = (zp[order], p2[order], *_flat([evaluation.passage_owners[i] for i in order]))
+    shared = spark.sparkContext.broadcast((idf, basis.astype(np.float32), exact, loose))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, base, z_q, s_q, r_q, text_of, offset = shared.value
-        n_q = np.sqrt(s_q)
+        weight, base, (z_q, s_q, r_q, q_text, q_first), (z_p, s_p, p_text, p_first) = shared.value
+        least = min(s_q[0], PARAPHRASE_SHARE**2 * s_p[0])
         for batch in batches:
             row, starts, token = tiles(batch)
             if not len(token):
                 continue
             z, square = _vectors(token, starts, weight, base)
             # |q|^2 <= <t, q> <= |t| |q| fails for tiles shorter than every query.
-            live = np.flatnonzero(square * 1.001 >= PARAPHRASE_COSINE**2 * s_q[0])
+            live = np.flatnonzero(square * 1.001 >= least)
+            live = live[np.argsort(square[live])]
             docs, texts, cosines = [], [], []
             for lo in range(0, len(live), 512):
                 mine = live[lo : lo + 512]
                 t2 = square[mine]
-                top = int(np.searchsorted(s_q, t2.max() / PARAPHRASE_COSINE**2 * 1.001, side="right"))
+                left = np.sqrt(np.maximum(t2 - (z[mine].astype(float) ** 2).sum(1), 0)).astype(np.float32)
+                top = int(np.searchsorted(s_q, t2[-1] * 1.001, side="right"))
                 dot = z[mine] @ z_q[:top].T
-                left = np.sqrt(np.maximum(t2 - (z[mine].astype(float) ** 2).sum(1), 0))
-                hit = dot + left[:, None] * r_q[:top] >= 0.999 * s_q[:top]
-                cosine = dot / (np.sqrt(t2)[:, None] * n_q[:top])
-                a, b = np.nonzero(hit | (cosine >= PARAPHRASE_COSINE))
-                if len(a):
+                a, b = np.nonzero(dot + left[:, None] * r_q[:top].astype(np.float32) >= (0.999 * s_q[:top]).astype(np.float32))
+                parts = [(a, q_text, q_first, b, dot[a, b] / np.sqrt(t2[a] * s_q[b]))]
+                top = int(np.searchsorted(s_p, t2[-1] / PARAPHRASE_SHARE**2 * 1.001, side="right"))
+                dot = z[mine] @ z_p[:top].T
+                a, b = np.nonzero(dot >= (PARAPHRASE_SHARE * s_p[:top]).astype(np.float32))
+                cosine = dot[a, b] / np.sqrt(t2[a] * s_p[b])
+                keep = cosine >= PARAPHRASE_COSINE
+                parts.append((a[keep], p_text, p_first, b[keep], cosine[keep]))
+                for a, text_of, offset, b, cosine in parts:
                     times = offset[b + 1] - offset[b]
-                    text = text_of[np.repeat(offset[b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                    doc = np.repeat(row[mine[a]], times)
-                    value = np.repeat(cosine[a, b], times)
-                    key = doc * (len(text_of) + 1) + text
-                    by = np.lexsort((-value, key))
-                    keep = by[np.concatenate([[True], key[by][1:] != key[by][:-1]])]
-                    docs.append(doc[keep])
-                    texts.append(text[keep])
-                    cosines.append(value[keep])
-            if docs:
+                    at = np.repeat(offset[b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    docs.append(np.repeat(row[mine[a]], times))
+                    texts.append(text_of[at])
+                    cosines.append(np.repeat(cosine, times))
+            if docs and sum(map(len, docs)):
+                doc, text, value = np.concatenate(docs), np.concatenate(texts), np.concatenate(cosines)
+                key = (doc << 32) | text
+                by = np.lexsort((-value, key))
+                keep = by[np.concatenate([[True], key[by][1:] != key[by][:-1]])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(texts).astype(np.int32)), pa.array(np.concatenate(cosines).astype(float))],
+                    [batch.column("doc_id").take(pa.array(doc[keep])), pa.array(text[keep].astype(np.int32)), pa.array(value[keep].astype(float))],
                     names=["doc_id", "text_no", "cosine"],
                 )
 
@@ -272,6 +292,30 @@ def candidates(held: DataFrame, evaluation: Evaluation, rank: int = RANK) -> Dat
     return found.groupBy("doc_id", "text_no").agg(F.max("cosine").alias("cosine"))
 
 
+def _flat(owners: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists end to end, and where each begins."""
+    return np.concatenate([np.array(o, np.int64) for o in owners]), np.cumsum([0, *map(len, owners)])
+
+
+def longest_runs(doc: list[str], evaluation: Evaluation, hits: set[int]) -> dict[int, int]:
+    """Longest run of words that a document shares with each of the given evaluation texts, if 8 or more."""
+    run, vocabulary = evaluation.run, evaluation.vocabulary
+    ids = [vocabulary.get(w, -1) for w in doc]
+    best: dict[int, int] = {}
+    length: dict[int, int] = {}  # of the run that ends here, by text
+    for i in range(len(ids) - run + 1):
+        number = evaluation.numbers.get(tuple(ids[i : i + run]))
+        now = {}
+        if number is not None:
+            for n in evaluation.owners[number]:
+                if n in hits:
+                    now[n] = length.get(n, run - 1) + 1
+                    if now[n] > best.get(n, 0):
+                        best[n] = longest_run(doc[i - (now[n] - run) : i + run], evaluation.words[n], run)
+        length = now
+    return best
+
+
 def longest_run(a: list[str], b: list[str], least: int) -> int:
     """Length of the longest run of words that both hold, if it reaches ``least``; else 0."""
     where: dict[tuple[str, ...], list[int]] = {}
@@ -316,7 +360,7 @@ def best_window(text: list[str], doc: list[str]) -> int:
 
 
 def leaks(docs: DataFrame, manifest: DataFrame | None, items: DataFrame, rank: int = RANK) -> DataFrame:
-    """``(doc_id, item_id, kind, cosine, run_words, lcs_share, answer_words)``: one row per leaked evaluation text.
+    """``(doc_id, item_id, kind, cosine, run_words, lcs_share, answer_share)``: one row per leaked evaluation text.
 
     ``kind`` is 'exact' where a run of 8 words or more of one evaluation text stands in the
     document (``run_words``), 'paraphrase' where the latent cosine, the share of the text's words in
@@ -337,29 +381,35 @@ def leaks(docs: DataFrame, manifest: DataFrame | None, items: DataFrame, rank: i
     if manifest is not None:
         pointed = manifest.where(F.col("content_path").isNotNull()).select(path_key("content_path").alias("k"))
         texts = texts.withColumn("k", path_key("content_path")).join(pointed, "k", "left_semi")
-    shared = docs.sparkSession.sparkContext.broadcast((evaluation.item, evaluation.form, evaluation.kind, evaluation.words))
+    shared = docs.sparkSession.sparkContext.broadcast(evaluation)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item, form, kind, content = shared.value
+        ev = shared.value
+        item, form, content = ev.item, ev.form, ev.words
         answers: dict[tuple, list[int]] = {}
         for n, f in enumerate(form):
-            if kind[n] == "candidate":
+            if ev.kind[n] == "candidate":
                 answers.setdefault(f, []).append(n)
         for batch in batches:
             rows = []
             for doc_id, text, hits in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 body = words(text)
+                runs = longest_runs(body, ev, {h["text_no"] for h in hits})
+                shares: dict[int, float] = {}
+
+                def share(k: int) -> float:
+                    if k not in shares:
+                        shares[k] = best_window(content[k], body) / max(1, len(content[k]))
+                    return shares[k]
+
                 for hit in hits:
                     n = hit["text_no"]
-                    run = longest_run(body, content[n], RUN)
-                    if run:
-                        rows.append((doc_id, item[n], "exact", hit["cosine"], run, None, None))
-                    elif hit["cosine"] >= PARAPHRASE_COSINE:
-                        share = best_window(content[n], body) / len(content[n])
-                        if share >= PARAPHRASE_LCS:
-                            answer = max((best_window(content[k], body) / max(1, len(content[k])) for k in answers.get(form[n], [])), default=0.0)
-                            if answer >= PARAPHRASE_LCS:
-                                rows.append((doc_id, item[n], "paraphrase", hit["cosine"], 0, share, answer))
+                    if n in runs:
+                        rows.append((doc_id, item[n], "exact", hit["cosine"], runs[n], None, None))
+                    elif hit["cosine"] >= PARAPHRASE_COSINE and share(n) >= PARAPHRASE_LCS:
+                        answer = max((share(k) for k in answers.get(form[n], [])), default=0.0)
+                        if answer >= PARAPHRASE_LCS:
+                            rows.append((doc_id, item[n], "paraphrase", hit["cosine"], 0, share(n), answer))
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "kind", "cosine", "run_words", "lcs_share", "answer_share"])
