@@ -285,10 +285,11 @@ def normalise(
         F.col(id_col).cast("long").alias("row_key"), clean(source_col).alias("source"), F.col(order_col).cast("long").alias("rec_order"),
         F.col(value_col).cast("string").alias("value"), F.col(semantics_col).cast("string").alias("semantics"),
     )
-    read_rows = taken.mapInPandas(read, _READ)
     parts = chunks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = read_rows.withColumn("source", F.coalesce("source", F.lit("")))
-    ordered = placed.repartitionByRange(parts, "source", "rec_order", "row_key").sortWithinPartitions("source", "rec_order", "row_key")
+    taken = taken.withColumn("source", F.coalesce("source", F.lit("")))
+    # Ordered before the values are read: the range partitioning samples its input, which then is a plain scan.
+    ordered = taken.repartitionByRange(parts, "source", "rec_order", "row_key").sortWithinPartitions("source", "rec_order", "row_key")
+    ordered = ordered.mapInPandas(read, _READ)
     ordered = materialise(ordered.withColumn("chunk", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "readings")
 
     # Rows with at most one reading decide nothing by themselves; only rows that have a choice, and
