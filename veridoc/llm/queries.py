@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import copies, leaks, near, packing, sampling, tokens
+from veridoc.llm import copies, language, leaks, near, packing, sampling, tokens
 from veridoc.runtime import table
 
 
@@ -30,8 +30,15 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(p3_leaks(spark, d))
 
 
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.detect(docs, language.detector(docs, table(spark, d, "lang_samples")))
+
+
 def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.document_tokens(table(spark, d, "documents"), table(spark, d, "manifest"), table(spark, d, "source_registry"))
+    return tokens.document_tokens(
+        table(spark, d, "documents"), table(spark, d, "manifest"), table(spark, d, "source_registry"), language.main_language(_detected(spark, d))
+    )
 
 
 def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -74,8 +81,20 @@ def p8_packing_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_packed(spark, d), table(spark, d, "pack_specs"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(table(spark, d, "documents"), _detected(spark, d))
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(_detected(spark, d))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_segments(_detected(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report)
+    f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report, p9_found, p9_languages, p9_segments)
 }
 
 SQL: dict[str, str] = {}
