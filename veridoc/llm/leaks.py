@@ -38,6 +38,8 @@ PASSAGE_STRIDE = 8
 MAX_EVALUATION_WORDS = 5_000_000
 CHUNK_CHARS = 1 << 20
 _BLOCKS = 16
+#: Occurrences handled at once in a worker.
+PART_TOKENS = 24_000
 
 
 class Evaluation:
@@ -134,6 +136,17 @@ def tiles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[starts] >> 32, starts, token
 
 
+def _parts(batch: pa.RecordBatch, most: int = PART_TOKENS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``most`` occurrences, so that the work space of a worker stays small."""
+    ends = np.cumsum(np.diff(batch.column("at").offsets.to_numpy()))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def document_frequency(held: DataFrame, size: int) -> np.ndarray:
     """Documents per vocabulary word, over all documents."""
     counted = held.select(F.explode(F.array_distinct("term")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -153,7 +166,7 @@ def sketch(held: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, om = shared.value
         total = np.zeros((m, width))
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             _, starts, token = tiles(batch)
             if not len(token):
                 continue
@@ -249,7 +262,7 @@ def candidates(held: DataFrame, evaluation: Evaluation, rank: int = RANK) -> Dat
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, base, (z_q, s_q, r_q, q_text, q_first), (z_p, s_p, p_text, p_first) = shared.value
         least = min(s_q[0], PARAPHRASE_SHARE**2 * s_p[0])
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             row, starts, token = tiles(batch)
             if not len(token):
                 continue
