@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$"
+_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})\z"
 
 
 def zoned_timestamp(text: Column | str) -> Column:
@@ -26,8 +26,8 @@ def partial_date(text: Column | str) -> Column:
     """``struct<at, precision>`` of a year, month, day or UTC time; null for other texts."""
     c = F.trim(text)
     kind = (
-        F.when(c.rlike(r"^\d{4}$"), "year").when(c.rlike(r"^\d{4}-\d{2}$"), "month").when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day")
-        .when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), "datetime")
+        F.when(c.rlike(r"^\d{4}\z"), "year").when(c.rlike(r"^\d{4}-\d{2}\z"), "month").when(c.rlike(r"^\d{4}-\d{2}-\d{2}\z"), "day")
+        .when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z\z"), "datetime")
     )
     full = F.when(kind == "year", F.concat(c, F.lit("-01-01"))).when(kind == "month", F.concat(c, F.lit("-01"))).otherwise(c)
     at = F.when(kind == "datetime", F.try_to_timestamp(c)).otherwise(F.try_to_timestamp(full, F.lit("yyyy-MM-dd")))
@@ -42,5 +42,5 @@ def earliest_date(texts: Column | str) -> Column:
 def rfc822_date(text: Column | str) -> Column:
     """``Mon, 02 Jan 2006 15:04:05 GMT`` as a timestamp; null for another form or a wrong weekday."""
     c = F.col(text) if isinstance(text, str) else text
-    at = F.when(c.rlike(r"^[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} GMT$"), F.try_to_timestamp(F.substring(c, 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))
+    at = F.when(c.rlike(r"^[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} GMT\z"), F.try_to_timestamp(F.substring(c, 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))
     return F.when(F.date_format(at, "EEE") == F.substring(c, 1, 3), at)

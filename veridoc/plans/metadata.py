@@ -32,8 +32,8 @@ MANIFEST_FIELDS = [
     "content_bytes", "word_count", "license_id", "rights_status", "authorship_provenance", "synthetic_fixture", "eligibility", "exclusion_reasons", "metadata",
 ]
 TEXT_FIELDS = ["text", "content", "body", "abstract", "full_text", "fulltext", "source_text", "document_text"]
-ID = r"^[A-Za-z0-9][A-Za-z0-9._:/@+-]*$"
-HEX = r"^[0-9a-f]{64}$"
+ID = r"^[A-Za-z0-9][A-Za-z0-9._:/@+-]*\z"
+HEX = r"^[0-9a-f]{64}\z"
 
 
 def _sm(spark: SparkSession, d: str) -> DataFrame:
