@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,20 @@ def salted_join(
     return marked.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each row in the order of ``order`` (unique).
+
+    No task sees all rows: rows are range-partitioned, totals of whole partitions (one row each)
+    are added up, and each partition then counts on from its own start.
+    """
+    parts = df.repartitionByRange(parallelism(df.sparkSession), order).withColumn("_part", F.spark_partition_id())
+    parts = materialise(parts, "ranges")
+    whole = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    starts = whole.withColumn("_start", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn(name, inside).join(starts.select("_part", "_start"), "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
+
+
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
