@@ -33,7 +33,9 @@ EPOCHS, BATCH, RATE, SEED = 14, 128, 0.01, 5
 SENTENCE_WORDS, SENTENCE_CHARACTERS = 6, 10
 SURE, LONE_SURE = 0.8, 0.98
 LEAST_WORDS, LEAST_CHARACTERS = 8, 20
-_PAIR_BLOCK = 1 << 13
+_PAIR_BLOCK = 1 << 16
+#: Windows are padded with zero bytes to a multiple of this, in training too.
+BLOCK = 16
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _BREAK = re.compile(r"[.!?…;]+[\"”»’)\]]*(?:\s+|\Z)|[。！？]+[」』”]*|\n\s*\n|\s[–—]\s|\n(?==)|\n(?=[-*#|>])|\[\[|\]\]|[«»„“”]")
@@ -59,9 +61,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def is_sentence(segment: str) -> bool:
+def is_sentence(segment: str, n_words: int | None = None) -> bool:
     """Whether a segment is long enough to be a full sentence."""
-    if len(_LETTERS.findall(segment)) >= SENTENCE_WORDS:
+    if (len(_LETTERS.findall(segment)) if n_words is None else n_words) >= SENTENCE_WORDS:
         return True
     return len(segment) >= SENTENCE_CHARACTERS and _KANA.search(segment) is not None and len(_EAST.findall(segment)) >= SENTENCE_CHARACTERS
 
@@ -95,40 +97,51 @@ class Network:
         self.tables = {w: rng.normal(0, 0.3 / np.sqrt(w), (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.dense = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), NONE + 1)).astype(np.float32)
         self.bias = np.zeros(NONE + 1, np.float32)
-        self._pairs: list[np.ndarray] | None = None
+        self._pairs: dict[int, list[np.ndarray]] | None = None
 
-    def pairs(self) -> list[np.ndarray]:
-        """Per even offset, the sum of two byte rows for every byte pair, over the filters that reach it."""
+    def pairs(self) -> dict[int, list[np.ndarray]]:
+        """Per filter width and even offset, the sum of two byte rows for every byte pair."""
         if self._pairs is None:
-            self._pairs = []
-            for k in range(0, max(WIDTHS), 2):
-                reach = [self.tables[w] for w in WIDTHS if w > k]
-                first, second = (np.concatenate([t[k + j] for t in reach], 1) for j in (0, 1))
-                self._pairs.append((first[:, None, :] + second[None, :, :]).reshape(65536, -1))
+            self._pairs = {w: [(t[k][:, None, :] + t[k + 1][None, :, :]).reshape(65536, -1) for k in range(0, w, 2)] for w, t in self.tables.items()}
         return self._pairs
 
     def pool(self, items: list[bytes]) -> np.ndarray:
-        """Pooled filter values of each window (not empty)."""
-        gap = b"\0" * max(WIDTHS)
+        """Pooled filter values of each window (not empty), over the window padded with zero bytes to whole blocks."""
         out = np.empty((len(items), FILTERS * len(WIDTHS)), np.float32)
         tables = self.pairs()
         lo = 0
         while lo < len(items):
             hi, size = lo, 0
             while hi < len(items) and (hi == lo or size < _PAIR_BLOCK):
-                size += len(items[hi]) + len(gap)
+                size += len(items[hi]) + BLOCK
                 hi += 1
-            data = np.frombuffer(gap.join(items[lo:hi]) + gap, np.uint8).astype(np.int32)
+            part = items[lo:hi]
+            blocks = -(-np.fromiter(map(len, part), np.int64, hi - lo) // BLOCK)
+            data = np.frombuffer(b"".join([x.ljust(BLOCK * n, b"\0") for x, n in zip(part, blocks.tolist())]) + b"\0\0", np.uint8).astype(np.int32)
+            n = len(data) - 2
+            ends = np.cumsum(blocks) * BLOCK
             pair = data[:-1] * 256 + data[1:]
-            n = len(data) - len(gap)
-            values = tables[0].take(pair[:n], 0)
-            for k, t in enumerate(tables[1:], 1):
-                values[:, FILTERS * k :] += t.take(pair[2 * k : 2 * k + n], 0)
-            lengths = np.fromiter(map(len, items[lo:hi]), np.int64, hi - lo)
-            starts = np.cumsum(lengths + len(gap)) - lengths - len(gap)
-            # Odd numbers of limits: each window ends where its gap begins, gaps are pooled apart.
-            limits = np.stack([starts, starts + lengths], 1).ravel()[:-1] if len(starts) else starts
-            out[lo:hi] = np.maximum.reduceat(values, limits, axis=0)[::2]
+            pair[ends - 1] = data[ends - 1] * 256  # nothing is read beyond a window's own bytes
+            index = [pair[:n]]
+            for k in range(2, max(WIDTHS), 2):
+                shifted = np.zeros(n, np.int32)
+                shifted[: n - k] = pair[k:n]
+                for j in range(k):
+                    shifted[ends - 1 - j] = 0
+                index.append(shifted)
+            # Position by position of all blocks at once: contiguous rows to add and compare.
+            index = [np.ascontiguousarray(x.reshape(-1, BLOCK).T) for x in index]
+            pooled = []
+            for rows in tables.values():
+                best = None
+                for j in range(BLOCK):
+                    h = rows[0].take(index[0][j], 0)
+                    for x, t in zip(index[1:], rows[1:]):
+                        h += t.take(x[j], 0)
+                    best = h if best is None else np.maximum(best, h, out=best)
+                pooled.append(best)
+            inner = np.concatenate(pooled, 1)
+            out[lo:hi] = np.maximum.reduceat(inner, np.cumsum(blocks) - blocks, axis=0)
             lo = hi
         return np.maximum(out, 0)
 
@@ -141,11 +154,11 @@ class Network:
 
     def fit(self, items: list[bytes], labels: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
         """Adam on cross entropy; gradients reach a filter at its strongest place only."""
-        span = WINDOW + max(WIDTHS)
+        span = WINDOW + BLOCK + max(WIDTHS)
         data = np.zeros((len(items), span), np.uint8)
         for i, x in enumerate(items):
             data[i, : len(x)] = np.frombuffer(x, np.uint8)
-        lengths = np.maximum(1, np.fromiter(map(len, items), np.int64, len(items)))
+        lengths = BLOCK * np.maximum(1, -(-np.fromiter(map(len, items), np.int64, len(items)) // BLOCK))
         params = [*self.tables.values(), self.dense, self.bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
@@ -272,8 +285,9 @@ def segment_languages(net: Network, texts: list[str | None]) -> list[list[tuple[
         mine = []
         for a, b in sentences(text):
             part = text[a:b]
-            full = is_sentence(part)
-            if full or len(_LETTERS.findall(part)) >= 3:
+            n = len(_LETTERS.findall(part))
+            full = is_sentence(part, n)
+            if full or n >= 3:
                 cut = windows(part)
                 mine.append((a, b, len(items), len(items) + len(cut), full))
                 items += cut
@@ -325,11 +339,12 @@ _SCHEMA = (
 )
 
 
-def detect(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", segments: bool = True) -> DataFrame:
     """One row per document: its languages with confidence, and its segments with language and confidence.
 
     Neighbouring segments of one language are one segment; a segment of no language has the
-    language null. A null or empty text, and one without a sentence, has no languages.
+    language null. A null or empty text, and one without a sentence, has no languages. The array
+    of segments stays empty where they are not asked for.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -340,32 +355,32 @@ def detect(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
             for lo in range(0, len(texts), 256):
                 part = texts[lo : lo + 256]
                 found = segment_languages(model, part)
-                languages = [[{"lang": c, "confidence": p, "sentences": n} for c, p, n in decide(rows)] for rows in found]
-                segments = [_joined(rows) for rows in found]
+                languages = _lists([decide(rows) for rows in found], ["lang", "confidence", "sentences"], [pa.string(), pa.float64(), pa.int32()])
+                parts = _lists([_joined(rows) if segments else [] for rows in found], ["start", "end", "lang", "confidence"], [pa.int32(), pa.int32(), pa.string(), pa.float64()])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, len(part)), pa.array([long_enough(t) for t in part]),
-                        pa.array(languages, pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())]))),
-                        pa.array(segments, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))),
-                    ],
-                    names=["doc_id", "long_enough", "languages", "segments"],
-                )
+                    [batch.column(0).slice(lo, len(part)), pa.array([long_enough(t) for t in part]), languages, parts], names=["doc_id", "long_enough", "languages", "segments"]
+                )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, _SCHEMA)
 
 
-def _joined(rows: list[tuple[int, int, int, float, bool, int]]) -> list[dict]:
-    out: list[dict] = []
+def _lists(rows: list[list[tuple]], names: list[str], kinds: list[pa.DataType]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    columns = list(zip(*[x for r in rows for x in r])) or [()] * len(names)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names))
+
+
+def _joined(rows: list[tuple[int, int, int, float, bool, int]]) -> list[tuple[int, int, str | None, float]]:
+    out: list[tuple[int, int, str | None, float]] = []
     weight = 0
     for a, b, k, c, full, size in rows:
         lang = CODES[k] if k != NONE and c >= SURE and full else None
-        if out and out[-1]["lang"] == lang:
-            last = out[-1]
-            last["confidence"] = (last["confidence"] * weight + c * size) / (weight + size)
-            last["end"] = b
+        if out and out[-1][2] == lang:
+            start, _, _, before = out[-1]
+            out[-1] = (start, b, lang, (before * weight + c * size) / (weight + size))
             weight += size
         else:
-            out.append({"start": a, "end": b, "lang": lang, "confidence": c})
+            out.append((a, b, lang, c))
             weight = size
     return out
 

@@ -30,9 +30,9 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(p3_leaks(spark, d))
 
 
-def _detected(spark: SparkSession, d: str) -> DataFrame:
+def _detected(spark: SparkSession, d: str, segments: bool = False) -> DataFrame:
     docs = table(spark, d, "documents")
-    return language.detect(docs, language.detector(docs, table(spark, d, "lang_samples")))
+    return language.detect(docs, language.detector(docs, table(spark, d, "lang_samples")), segments=segments)
 
 
 def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.document_segments(_detected(spark, d))
+    return language.document_segments(_detected(spark, d, segments=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
