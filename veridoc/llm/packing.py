@@ -76,8 +76,8 @@ def pack(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id") -> DataFram
     """Assign every sized item to a container of each capacity.
 
     ``sizes`` has ``id_col`` and ``n_tokens``; ``specs`` has ``pack_id`` and ``capacity_tokens``
-    (bounded: at most MAX_PACKS rows, capacities up to MAX_CAPACITY; a null or non-positive
-    capacity is an error). Result: ``(pack_id, container_id, doc_id, piece_no, first_token,
+    (bounded: at most MAX_PACKS rows, capacities up to MAX_CAPACITY; a row with a null or
+    non-positive capacity packs nothing). Result: ``(pack_id, container_id, doc_id, piece_no, first_token,
     n_tokens, slot)``. An item that fits stays whole. A longer one is cut into full containers of
     its own and a remainder that is packed like any other item. An item with a null or zero size
     has one row with a null container. Repeated ids are packed once for each row.
@@ -86,9 +86,10 @@ def pack(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id") -> DataFram
     (size, hash bucket), so that a size shared by a third of all rows is still split.
     """
     packs = [(r["pack_id"], r["capacity_tokens"]) for r in small(specs.select("pack_id", "capacity_tokens").distinct(), MAX_PACKS, "pack_specs")]
+    packs = [(name, capacity) for name, capacity in packs if capacity is not None and capacity > 0]
     for name, capacity in packs:
-        if capacity is None or not 0 < capacity <= MAX_CAPACITY:
-            raise ValueError(f"pack {name}: capacity {capacity} is not within 1..{MAX_CAPACITY}")
+        if capacity > MAX_CAPACITY:
+            raise ValueError(f"pack {name}: capacity {capacity} is above {MAX_CAPACITY}")
     packs.sort(key=lambda x: (x[1], str(x[0])))
     sizes = materialise(sizes.select(F.col(id_col).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n")), "sizes")
     rows = sizes.count()

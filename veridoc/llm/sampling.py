@@ -71,7 +71,7 @@ def signed(recs: DataFrame, targets: list[Target]) -> DataFrame:
     hit = recs.withColumn("hits", F.flatten(F.transform(F.flatten(F.array(*keys)), lambda k: F.coalesce(F.element_at(lookup, k), none))))
     each = hit.withColumn("draw_id", F.explode(F.array(*[F.lit(x) for x in draws])))
     own = F.transform(F.filter("hits", lambda h: h["draw_id"] == F.col("draw_id")), lambda h: h["target_no"])
-    return each.withColumn("signature", F.array_sort(own)).drop("hits")
+    return each.withColumn("signature", F.array_sort(F.array_distinct(own))).drop("hits")
 
 
 def _key(shape: tuple[bool, bool, bool]) -> Column:
@@ -169,8 +169,13 @@ def repair(counts: dict[tuple[int, ...], int], targets: list[Target], seed: int)
 
 
 def plan(recs: DataFrame, target_rows: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame, list[Target], dict, dict]:
-    """Signed records, and for each draw the counts available and the counts to take."""
+    """Signed records, and for each draw the counts available and the counts to take.
+
+    Targets without a draw or a number are left out; of several rows with one draw and number
+    the last in the order of their values holds.
+    """
     targets = [Target(r) for r in small(target_rows, MAX_TARGETS, "sample_targets") if r["draw_id"] is not None and r["target_no"] is not None]
+    targets = list({(t.draw, t.no): t for t in sorted(targets, key=lambda t: (t.draw, t.no, str(t.fields), t.share, t.least, t.size))}.values())  # repeated rows count once
     held = materialise(signed(recs, targets), "signed")
     counted = held.groupBy("draw_id", "signature").agg(F.count(F.lit(1)).alias("n"))
     counts: dict[str, dict[tuple[int, ...], int]] = {}
