@@ -97,7 +97,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report, p9_found, p9_languages, p9_segments)
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(replace(lower(coalesce({0},'')),'ß','ss'), '[\p{{L}}\p{{N}}]+(?:[-''][\p{{L}}\p{{N}}]+)*')"
+_CLEAN = "nullif(regexp_replace(lower({0}), '^[\\s ]+|[\\s ]+$', '', 'g'),'')"
+_PATH = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(content_path)), '\\+', '/', 'g'), '^(\.?/+)+', ''), '/{2,}', '/', 'g')"
+
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH f AS (SELECT item_id, unnest(forms) AS f FROM eval_items), t AS (SELECT item_id, f.prompt AS text FROM f UNION ALL SELECT item_id, unnest(f.candidates).text FROM f),
+ q AS (SELECT item_id, {_WORDS.format('text')} AS w FROM t), g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1,len(w)-6), lambda i: array_to_string(w[i:i+7],' '))) AS x FROM q WHERE len(w)>=8),
+ d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE {_PATH} IN (SELECT {_PATH} FROM manifest)),
+ h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1,len(w)-6), lambda i: array_to_string(w[i:i+7],' '))) AS x FROM d WHERE len(w)>=8) SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (x)""",
+    "p5_found": f"""WITH m AS (SELECT record_id, {_CLEAN.format('source_id')} AS s, {_CLEAN.format('era_window')} AS e, list_transform(coalesce(review_strata,[]), lambda x: {_CLEAN.format('x')}) AS r FROM source_metadata WHERE record_id IS NOT NULL)
+ SELECT t.draw_id, t.target_no FROM sample_targets t LEFT JOIN m ON (t.source_id IS NULL OR m.s={_CLEAN.format('t.source_id')}) AND (t.era_window IS NULL OR m.e={_CLEAN.format('t.era_window')})
+ AND (t.stratum IS NULL OR list_contains(m.r,{_CLEAN.format('t.stratum')})) GROUP BY t.draw_id, t.target_no, t.min_rows, t.target_share, t.sample_size HAVING count(DISTINCT m.record_id) < greatest(t.min_rows, round(t.target_share*t.sample_size))""",
+    "p6_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w, regexp_replace(replace(lower(text),'ß','ss'),'[^\\p{{L}}\\p{{N}}]+','','g') AS form FROM documents),
+ s AS (SELECT doc_id, md5(form) AS form, list_distinct(list_transform(range(1,len(w)-2), lambda i: array_to_string(w[i:i+3],' '))) AS r FROM d WHERE len(w)>=4),
+ x AS (SELECT doc_id, form, len(r) AS n, unnest(r) AS g FROM s),
+ p AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS k FROM x a JOIN x b ON a.g=b.g AND a.doc_id<b.doc_id AND a.form<>b.form GROUP BY 1,2)
+ SELECT doc_id_a, doc_id_b FROM p WHERE k >= 0.55*(an+bn-k)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
