@@ -59,20 +59,31 @@ def word_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").withColumn("digest", F.sha2("text", 256)).select("doc_id", "digest", clean("source").alias("source"), "lang")
+
+
+def _normalised(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).where(F.size("tokens") > 0).withColumn("digest", text.normalized_sha256("tokens")).select("doc_id", "digest", "source", "lang")
+
+
+_FLAGS = {"cross_source": "source", "cross_lang": "lang"}
+
+
 def clusters_raw(spark: SparkSession, d: str) -> DataFrame:
     """A1 over identical bytes."""
-    docs = table(spark, d, "documents").where("text is not null").withColumn("digest", F.sha2("text", 256)).select("doc_id", "digest", clean("source").alias("source"), "lang")
-    return _flat(integrity.clusters(docs, "digest", "raw", "doc_id", {"cross_source": "source", "cross_lang": "lang"}))
+    return integrity.clusters(_raw(spark, d), "digest", "raw", "doc_id", _FLAGS)
 
 
 def clusters_normalized(spark: SparkSession, d: str) -> DataFrame:
     """A1 over equal normalised texts."""
-    docs = tokens(spark, d).where(F.size("tokens") > 0).withColumn("digest", text.normalized_sha256("tokens")).select("doc_id", "digest", "source", "lang")
-    return _flat(integrity.clusters(docs, "digest", "normalized", "doc_id", {"cross_source": "source", "cross_lang": "lang"}))
+    return integrity.clusters(_normalised(spark, d), "digest", "normalized", "doc_id", _FLAGS)
 
 
-def _flat(clusters: DataFrame) -> DataFrame:
-    return clusters.withColumn("records", F.array_join("records", ","))
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    """A1: members of the clusters of equal normalised texts."""
+    held = materialise(_normalised(spark, d), "digests")
+    return integrity.cluster_members(held, integrity.clusters(held, "digest", "normalized", "doc_id", _FLAGS), "digest", "doc_id")
 
 
 def manifest_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +189,7 @@ _NEAR = (
 
 def _clusters_sql(prefix: str, digest: str, where: str) -> str:
     return _T + (
-        f" SELECT '{prefix}-'||substr(digest,1,16) AS cluster_id, digest, count(*) AS record_count, array_to_string(list(doc_id ORDER BY doc_id),',') AS records,"
+        f" SELECT '{prefix}-'||substr(digest,1,16) AS cluster_id, digest, count(*) AS record_count, min(doc_id) AS first_record,"
         f" count(DISTINCT coalesce(source,chr(1)))>1 AS cross_source, count(DISTINCT coalesce(lang,chr(1)))>1 AS cross_lang"
         f" FROM (SELECT *, {digest} AS digest FROM t WHERE {where}) GROUP BY digest HAVING count(*)>1"
     )
@@ -196,6 +207,8 @@ SQL = {
     "word_frequencies": _T + " SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(w) AS word FROM t) GROUP BY word",
     "clusters_raw": _clusters_sql("raw", "sha256(text)", "doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)"),
     "clusters_normalized": _clusters_sql("normalized", "sha256(array_to_string(w,' '))", "len(w)>0"),
+    "cluster_members": _T + """, h AS (SELECT doc_id, sha256(array_to_string(w,' ')) AS h FROM t WHERE len(w)>0)
+ SELECT 'normalized-'||substr(h,1,16) AS cluster_id, doc_id FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*)>1)""",
     "manifest_clusters": """SELECT normalized_sha256, count(*) AS record_count, count(DISTINCT source_family)>1 AS cross_family, count(DISTINCT role)>1 AS cross_role,
  bool_or(holdout_status='confirmatory-held-out') AND count(DISTINCT holdout_status)>1 AS crosses_holdout FROM manifest WHERE normalized_sha256 IS NOT NULL GROUP BY 1 HAVING count(*)>1""",
     "shingle_counts": _T + """ SELECT doc_id, CASE WHEN len(w)>=4 THEN len(list_distinct(list_transform(range(1,len(w)-2), lambda i: array_to_string(w[i:i+3],' ')))) WHEN len(w)>0 THEN 1 ELSE 0 END AS n_shingles,
@@ -225,7 +238,7 @@ SQL = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        doc_words, doc_words_exact, normalized_hashes, ascii_word_counts, word_frequencies, clusters_raw, clusters_normalized, manifest_clusters, shingle_counts,
+        doc_words, doc_words_exact, normalized_hashes, ascii_word_counts, word_frequencies, clusters_raw, clusters_normalized, cluster_members, manifest_clusters, shingle_counts,
         near_pairs, near_pair_sources, simhash_values, simhash_candidates, evaluation_exposure, pattern_exposure, resolved_manifest, integrity_summary,
     )
 }
