@@ -31,7 +31,7 @@ EPOCHS, BATCH, RATE, SEED = 14, 128, 0.01, 5
 #: A segment counts as a full sentence from so many words (Japanese: characters) and this confidence on;
 #: the only sentence of a second language in a document needs more confidence.
 SENTENCE_WORDS, SENTENCE_CHARACTERS = 6, 10
-SURE, LONE_SURE = 0.8, 0.98
+SURE, LONE_SURE = 0.8, 0.9
 LEAST_WORDS, LEAST_CHARACTERS = 8, 20
 _PAIR_BLOCK = 1 << 16
 #: Windows are padded with zero bytes to a multiple of this, in training too.
