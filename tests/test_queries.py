@@ -143,3 +143,20 @@ def test_core_does_not_need_the_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "veridoc.llm" not in path.read_text(), path
+
+
+def test_limits_pages_and_identities(spark):
+    from veridoc.operators import audit
+
+    assert audit.within(spark.range(3), 3, "x").count() == 3
+    with pytest.raises(audit.LimitExceeded):
+        audit.within(spark.range(4), 3, "x")
+    pages = {None: ([1, 2], "a"), "a": ([3], "b"), "b": ([], None)}
+    assert audit.paginate(lambda t: pages[t], 5, 10) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        audit.paginate(lambda t: ([1], "a"), 5, 10)
+    with pytest.raises(audit.LimitExceeded):
+        audit.paginate(lambda t: pages[t], 5, 2)
+    assert audit.run_identity({"a": 1, "b": 2}) == audit.run_identity({"b": 2, "a": 1})
+    items = audit.generated_items(spark)
+    assert items.count() == 32 and items.select("item_id").distinct().count() == 16

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each offer QUERIES (name -> function of session and data folder) and SQL (name -> text).
-MODULES: list[str] = ["general", "integrity", "metadata", "scoring", "history", "calibration", "adapters"]
+MODULES: list[str] = ["general", "integrity", "metadata", "scoring", "history", "calibration", "adapters", "audit"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
