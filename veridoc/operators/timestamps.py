@@ -20,7 +20,6 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -292,8 +291,7 @@ def normalise(
     ordered = ordered.mapInPandas(read, _READ)
     ordered = materialise(ordered.withColumn("chunk", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "readings")
 
-    # Rows with at most one reading decide nothing by themselves; only rows that have a choice, and
-    # the next row with a reading on either side of them, take part in the passes.
+    # Only rows with a choice need the passes, and only sources that hold such rows.
     timed = ordered.where(F.size("instants") > 0)
     plural = ordered.where(F.size("instants") > 1).select("chunk", "source").distinct()
     if plural.limit(1).count():
@@ -317,16 +315,31 @@ def _rows(pdf: pd.DataFrame) -> list[tuple[list, np.ndarray, np.ndarray]]:
     return [(list(f), np.asarray(t, np.int64), np.asarray(c, float)) for f, t, c in zip(pdf["notations"], pdf["instants"], pdf["costs"])]
 
 
+def _deciding(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a run that bear on a choice: those with several readings, their neighbours, and both ends.
+
+    A step between two rows of one reading each costs the same on every path and can be left out.
+    """
+    pdf = pdf.sort_values("pos")
+    plural = pdf["notations"].map(len).to_numpy() > 1
+    keep = plural.copy()
+    keep[1:] |= plural[:-1]
+    keep[:-1] |= plural[1:]
+    keep[[0, -1]] = True
+    return pdf[keep]
+
+
 def _viterbi(timed: DataFrame, plural: DataFrame) -> DataFrame:
     """``(pos, choice)`` of the rows with several readings."""
     touched = plural.select("source").distinct()
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        run = _rows(pdf.sort_values("pos"))
+        run = _rows(_deciding(pdf))
         n = len(run[0][0])
         cost = np.where(np.eye(n, dtype=bool), run[0][2][None, :], np.inf)
         for (f0, t0, _), (f1, t1, own) in zip(run, run[1:]):
-            cost, _ = _step(cost, f0, t0, f1, t1, own)
+            if len(f0) > 1 or len(f1) > 1:
+                cost, _ = _step(cost, f0, t0, f1, t1, own)
         return pd.DataFrame({
             "chunk": [key[0]], "source": [key[1]], "f0": [run[0][0]], "t0": [run[0][1].tolist()],
             "f1": [run[-1][0]], "t1": [run[-1][1].tolist()], "m": [cost.ravel().tolist()],
@@ -350,12 +363,12 @@ def _viterbi(timed: DataFrame, plural: DataFrame) -> DataFrame:
     ends = materialise(matrices.groupBy("source").applyInPandas(link, "chunk int, source string, first int, last int"), "ends")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+        pdf = _deciding(pdf)
         path = decode(_rows(pdf), int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
         keep = pdf["notations"].map(len) > 1
         return pd.DataFrame({"pos": pdf["pos"], "choice": path})[keep]
 
-    return mine.join(ends.join(plural, ["chunk", "source"], "left_semi"), ["chunk", "source"]).groupBy("chunk", "source").applyInPandas(settle, "pos bigint, choice int")
+    return mine.join(ends, ["chunk", "source"]).join(plural, ["chunk", "source"], "left_semi").groupBy("chunk", "source").applyInPandas(settle, "pos bigint, choice int")
 
 
 def stated_instants(normalised: DataFrame, id_col: str = "meta_id") -> DataFrame:
