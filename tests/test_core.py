@@ -192,3 +192,9 @@ def test_running_total(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("v")).repartition(5)
     got = {r.id: r.s for r in running_total(df, "id", "v", "s").collect()}
     assert got == {i: sum(j % 7 for j in range(i)) for i in range(100)}
+
+
+def test_agreement_of_both_normalisers_on_plain_text(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null")
+    both = docs.select(text.tokenize_exact("text").alias("a"), text.tokenize_fast("text").alias("b"))
+    assert both.where("a <> b").count() <= 0.05 * both.count()

@@ -7,7 +7,6 @@ with the error's message.
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 from collections.abc import Callable
@@ -18,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Vocabularies of the cleaners.
 SCHEMES = ("ftp", "http", "https", "mailto")
 DROPPED_BLOCKS = ("code", "gallery", "math", "pre", "ref", "syntaxhighlight", "source")
 DROPPED_LINKS = {"category", "file", "image", "media", "template"}
@@ -323,7 +323,3 @@ def new_spans(before: Column | str, after: Column | str) -> Column:
         return pd.Series([[list(y[lo:hi]) for lo, hi in added_spans(list(x), list(y))] if x is not None and y is not None else None for x, y in zip(a, b)])
 
     return F.pandas_udf(run, "array<array<string>>")(before, after)
-
-
-def unescape(text: str) -> str:
-    return html.unescape(text)

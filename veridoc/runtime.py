@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A side is broadcast only while the row count times this many bytes stays below BROADCAST_BYTES.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -115,10 +114,6 @@ def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame
     return parts.withColumn(name, inside).join(starts.select("_part", "_start"), "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
 
 
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def clean(column: Column | str) -> Column:
     """Label comparison form: outer whitespace removed, lower case; empty becomes null."""
     c = F.col(column) if isinstance(column, str) else column
