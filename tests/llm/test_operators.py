@@ -247,3 +247,16 @@ def test_budget_totals(spark, data):
     whole = cube.where(" and ".join(f"{c} is null" for c in tokens.DIMENSIONS)).collect()
     docs = tokens.count_tokens(spark.read.parquet(f"{data}/documents.parquet"), ["doc_id"]).agg(F.count("*").alias("d"), F.sum("n_tokens").alias("t")).first()
     assert (whole[0].n_docs, whole[0].n_tokens) == (docs.d, docs.t)
+
+
+def test_sketches_keep_similar_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, j in enumerate([0.05] * 40 + [0.6] * 40):
+        u = rng.integers(0, 2**63, 300).astype(np.uint64)
+        m = int(300 * j)
+        o = (300 - m) // 2
+        x, y = near.sketches(near.signatures([np.unique(np.concatenate([u[:m], u[m : m + o]])), np.unique(np.concatenate([u[:m], u[m + o :]]))], 256))
+        rows.append((i, i + 1000, bytearray(x), bytearray(y)))
+    kept = {r.a for r in near.agreeing(spark.createDataFrame(rows, "a bigint, b bigint, x binary, y binary"), 0.55, 256).collect()}
+    assert kept == set(range(40, 80))

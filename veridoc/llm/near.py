@@ -131,6 +131,39 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> list[bytes]:
+    """The lowest four bits of every coordinate, two in a byte."""
+    low = (signature & np.uint32(15)).astype(np.uint8)
+    low = np.pad(low, ((0, 0), (0, low.shape[1] % 2)))
+    return [r.tobytes() for r in (low[:, ::2] << 4) | low[:, 1::2]]
+
+
+def least_agreement(similarity: float, k: int) -> float:
+    """Share of agreeing sketch coordinates that a pair of this similarity falls below with probability 1e-9 (6 deviations)."""
+    p = similarity + (1 - similarity) / 16
+    return p - 6 * math.sqrt(p * (1 - p) / k)
+
+
+def agreeing(pairs: DataFrame, similarity: float, k: int) -> DataFrame:
+    """``(a, b)`` of the candidates ``(a, b, x, y)`` whose sketches x and y agree as often as similar texts do.
+
+    Bands let unlike texts through now and then, ever more of them as a collection grows; their
+    signatures as a whole do not agree, which is seen here before any text is read again.
+    """
+    least = least_agreement(similarity, k)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            differ = x ^ y
+            same = (differ < 16).sum(1) + ((differ & 15) == 0).sum(1) - k % 2  # the padding of an odd k always agrees
+            yield batch.select(["a", "b"]).filter(pa.array(same >= least * k))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(keep, "a bigint, b bigint")
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, t in enumerate(texts):
@@ -152,10 +185,10 @@ def _hasher() -> WordHasher:
 
 
 def fingerprints(docs: DataFrame, run: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, word_class, form_class BINARY, n_words, keys ARRAY<BIGINT>)`` of texts with ``run`` words or more.
+    """``(doc_id, word_class, form_class BINARY, n_words, keys ARRAY<BIGINT>, sketch BINARY)`` of texts with ``run`` words or more.
 
     ``word_class`` stands for the sequence of words (128 bits), ``form_class`` for the letters and
-    digits. Band keys come only with the first text of a word class in a task, so copies are
+    digits. Band keys and the sketch come only with the first text of a word class in a task, so copies are
     thinned out before anything is shuffled.
     """
     k = bands * rows
@@ -181,19 +214,22 @@ def fingerprints(docs: DataFrame, run: int, bands: int, rows: int, id_col: str =
                             seen.add(word_class)
                             sets.append(np.unique(runs[at : at + n - run + 1]))
                     at += n
-                keys = band_keys(signatures(sets, k), bands, rows)
+                signature = signatures(sets, k)
+                keys = band_keys(signature, bands, rows)
+                short = iter(sketches(signature))
                 sizes = np.where(np.array(fresh, bool), bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).take(pa.array(take, pa.int64())), pa.array(classes, pa.binary()),
                         pa.array([forms[i] for i in take], pa.binary()), pa.array(counts[take] if take else [], pa.int64()), lists,
+                        pa.array([next(short) if f else None for f in fresh], pa.binary()),
                     ],
-                    names=["doc_id", "word_class", "form_class", "n_words", "keys"],
+                    names=["doc_id", "word_class", "form_class", "n_words", "keys", "sketch"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(
-        make, "doc_id bigint, word_class binary, form_class binary, n_words bigint, keys array<bigint>"
+        make, "doc_id bigint, word_class binary, form_class binary, n_words bigint, keys array<bigint>, sketch binary"
     )
 
 
@@ -207,9 +243,9 @@ def class_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY,
     """
     spark = docs.sparkSession
     held = materialise(fingerprints(docs, run, bands, rows), "fingerprints")
-    classes = held.groupBy("word_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+    classes = held.groupBy("word_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.max("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    members = salted_join(held.select("doc_id", "word_class", "form_class"), classes, ["word_class"], "n_copies", ROWS_PER_SHARE)
+    members = salted_join(held.select("doc_id", "word_class", "form_class"), classes.drop("sketch"), ["word_class"], "n_copies", ROWS_PER_SHARE)
     members = materialise(members.select("doc_id", "class_id", "form_class", "n_copies"), "members")
 
     # One shuffle by band key. The self-join reads the same exchange twice; the skew join splits
@@ -219,10 +255,11 @@ def class_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY,
     banded = banded.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "text"])
     left, right = banded.withColumnRenamed("text", "text_a"), banded.withColumnRenamed("text", "text_b")
     pairs = left.join(right, "key").where("text_a < text_b").select("text_a", "text_b").distinct()
-    ids = classes.select(prefix.alias("text"), "class_id")
+    ids = classes.select(prefix.alias("text"), "class_id", "sketch")
     pairs = materialise(pairs, "candidates")
-    pairs = pairs.join(ids.withColumnRenamed("class_id", "a"), pairs["text_a"] == ids["text"]).drop("text")
-    pairs = pairs.join(ids.withColumnRenamed("class_id", "b"), pairs["text_b"] == ids["text"]).select("a", "b")
+    pairs = pairs.join(ids.withColumnsRenamed({"text": "text_a", "class_id": "a", "sketch": "x"}), "text_a")
+    pairs = pairs.join(ids.withColumnsRenamed({"text": "text_b", "class_id": "b", "sketch": "y"}), "text_b")
+    pairs = agreeing(pairs, similarity, bands * rows)
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
     return verified(docs, pairs, run, similarity), members
 
