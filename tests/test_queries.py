@@ -160,3 +160,18 @@ def test_limits_pages_and_identities(spark):
     assert audit.run_identity({"a": 1, "b": 2}) == audit.run_identity({"b": 2, "a": 1})
     items = audit.generated_items(spark)
     assert items.count() == 32 and items.select("item_id").distinct().count() == 16
+
+
+def test_contracts(spark):
+    from veridoc.operators import contracts
+
+    good = {"shingle_size": 4, "evaluation_ngram_size": 5, "evaluation_min_shared_ngrams": 1, "simhash_band_count": 4, "simhash_bits": 64, "near_duplicate_jaccard_threshold": 0.55, "evaluation_jaccard_threshold": 0.12, "evaluation_containment_threshold": 0.25}
+    assert contracts.integrity_settings_errors(good) == []
+    assert len(contracts.integrity_settings_errors(good | {"shingle_size": True, "simhash_band_count": 5, "evaluation_jaccard_threshold": 1.5})) == 3
+    cells = [{"source": s, "era": e, "window": e} for s in "ab" for e in ("early", "late")] + [{"control": True}]
+    assert contracts.experiment_errors({"seeds": [1, 2, 3], "conditions": cells}) == []
+    assert len(contracts.experiment_errors({"seeds": [1, 1, 2], "conditions": cells[:2]})) == 3
+    events = spark.createDataFrame([("1", "a", "granted", None), ("2", "a", "granted", "x"), ("3", " ", "refused", None), ("4", "b", "lost", None)], "event_id string, access_id string, outcome string, reason string")
+    got = sorted((r.event_id, r.rule) for r in contracts.access_event_violations(events).collect())
+    assert got == [("2", "reason-with-grant"), ("3", "access-id"), ("3", "refusal-without-reason"), ("4", "outcome")]
+    assert contracts.state_hash({"a": 1, "b": [True]}) == contracts.state_hash({"b": [True], "a": 1}) != contracts.state_hash({"a": 1.0, "b": [1]})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import markup, text
-from veridoc.operators import audit, rules
+from veridoc.operators import audit, contracts, rules
 from veridoc.runtime import clean, table
 
 MOST_BYTES, MOST_TOKENS = 8192, 600
@@ -71,6 +71,16 @@ def continuation_values(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.size("v").cast("bigint").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+def topology_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items against three forms of two candidates in different cells."""
+    return contracts.topology_violations(table(spark, d, "eval_items"), 3, 2)
+
+
+def same_family_waits(spark: SparkSession, d: str) -> DataFrame:
+    """ST7: events of a user that repeat the type of the one before."""
+    return contracts.same_family_waits(table(spark, d, "events"), "user_id", "event_id", "event_type").select("user_id", "event_id")
+
+
 _W = r"regexp_extract_all(replace(lower(text),'ß','ss'), '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*')"
 _S = "nullif(regexp_replace(lower(source), '^[\\s ]+|[\\s ]+$', '', 'g'),'')"
 
@@ -84,9 +94,12 @@ SQL = {
  SELECT * FROM e UNION ALL SELECT '(all)', sum(documents)::BIGINT, sum(characters)::BIGINT FROM e""",
     "effect_estimates": """SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice-l_quantity),4) AS mean_difference, round(regr_slope(l_extendedprice,l_quantity),4) AS slope, round(corr(l_quantity,l_extendedprice),6) AS correlation,
  sign(corr(l_quantity,l_extendedprice))::INT AS sign FROM lineitem GROUP BY 1""",
+    "topology_violations": """SELECT item_id, 'forms' AS rule FROM eval_items WHERE forms IS NULL OR len(forms)<>3 UNION ALL SELECT item_id, 'candidates' FROM eval_items WHERE len(list_filter(forms, lambda f: f.candidates IS NULL OR len(f.candidates)<>2))>0
+ UNION ALL SELECT item_id, 'cells' FROM eval_items WHERE len(list_distinct(list_transform(forms, lambda f: {'c': f.context_id, 't': f.template_id})))<>len(forms)""",
+    "same_family_waits": "SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b=event_type",
     "continuation_values": "SELECT vec_id, len(v) AS n, round(list_sum(list_transform(v, lambda x: x::DOUBLE)),5) AS total FROM (SELECT vec_id, list_slice(embedding, label+1, label+3) AS v FROM embeddings)",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (bounded_texts, paragraph_texts, numeric_identifiers, registry_violations, selection_totals, public_leaks, generated_items, effect_estimates, continuation_values)
+    f.__name__: f for f in (bounded_texts, paragraph_texts, numeric_identifiers, registry_violations, selection_totals, public_leaks, generated_items, effect_estimates, continuation_values, topology_violations, same_family_waits)
 }
