@@ -294,14 +294,19 @@ def segment_languages(net: Network, texts: list[str | None]) -> list[list[tuple[
         plan.append(mine)
     p = net.probabilities(items)
     size = np.fromiter(map(len, items), np.int64, len(items))
+    first, sure, bytes_of = p.argmax(1).tolist(), p.max(1).tolist(), size.tolist()
     out = []
-    for text, mine in zip(texts, plan):
+    for mine in plan:
         rows = []
         for a, b, lo, hi, full in mine:
-            if hi - lo <= 2:
-                mean = np.average(p[lo:hi], axis=0, weights=size[lo:hi])
+            if hi - lo == 1:
+                rows.append((a, b, first[lo], sure[lo], full, bytes_of[lo]))
+                continue
+            if hi - lo == 2:
+                x, y = bytes_of[lo], bytes_of[lo + 1]
+                mean = p[lo] * (x / (x + y)) + p[lo + 1] * (y / (x + y))
                 k = int(mean.argmax())
-                rows.append((a, b, k, float(mean[k]), full, int(size[lo:hi].sum())))
+                rows.append((a, b, k, float(mean[k]), full, x + y))
                 continue
             # A long stretch without sentence ends: neighbouring windows of one language form a part.
             best = p[lo:hi].argmax(1)
