@@ -45,7 +45,7 @@ def foreign_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _short(spark: SparkSession, d: str) -> DataFrame:
-    """Chains restarted at every change of day, so that they stay short."""
+    """Chains restarted at every change of day, as the SQL has them; ``_whole`` cuts none."""
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id")
     r = table(spark, d, "events").select("user_id", "event_id", "ts", F.lag("event_id").over(w).alias("parent_id"), F.md5(F.concat_ws("|", "event_type", (F.col("value") / 50).cast("int").cast("string"))).alias("digest"))
     return materialise(r, "revisions")
@@ -73,6 +73,36 @@ def rollback_signals(spark: SparkSession, d: str) -> DataFrame:
     return history.rollbacks(r, history.earlier_evidence(r, "user_id", "event_id", "parent_id", "ts"), "user_id", "event_id", "digest")
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """The revisions of ``_short`` with the parent taken over the whole history of a user."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select("user_id", "event_id", "ts", F.lag("event_id").over(w).alias("parent_id"), F.md5(F.concat_ws("|", "event_type", (F.col("value") / 50).cast("int").cast("string"))).alias("digest"))
+
+
+def whole_ancestor_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """J13 over whole histories."""
+    return history.ancestors(_whole(spark, d), "user_id", "event_id", "parent_id")
+
+
+def _lineage(spark: SparkSession, d: str) -> DataFrame:
+    return history.lineage(_whole(spark, d), "user_id", "event_id", "parent_id", "ts", "digest")
+
+
+def whole_revision_chronology(spark: SparkSession, d: str) -> DataFrame:
+    """W4 over whole histories."""
+    return _lineage(spark, d).where("chronology is not null").select("user_id", "event_id", "chronology")
+
+
+def whole_earlier_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """J14 over whole histories: the number of evidence revisions of each revision."""
+    return _lineage(spark, d).where("n_evidence > 0").select("user_id", "event_id", F.col("n_evidence").alias("n"))
+
+
+def whole_rollback_signals(spark: SparkSession, d: str) -> DataFrame:
+    """J15 over whole histories."""
+    return _lineage(spark, d).where("rollback").select("user_id", "event_id")
+
+
 def latest_event_before_order(spark: SparkSession, d: str) -> DataFrame:
     """J18."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
@@ -131,6 +161,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         event_time_steps_back, event_chain_breaks, run_state_breaks, foreign_parents, ancestor_pairs, revision_chronology, earlier_evidence, rollback_signals, latest_event_before_order,
-        same_time_ambiguity, reused_identities, ordered_actions,
+        same_time_ambiguity, reused_identities, ordered_actions, whole_ancestor_pairs, whole_revision_chronology, whole_earlier_evidence, whole_rollback_signals,
     )
 }
