@@ -185,10 +185,11 @@ def _hasher() -> WordHasher:
 
 
 def fingerprints(docs: DataFrame, run: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, word_class, form_class BINARY, n_words, keys ARRAY<BIGINT>, sketch BINARY)`` of texts with ``run`` words or more.
+    """``(doc_id, word_class, form_class BINARY, n_words, keys ARRAY<BIGINT>, sketch BINARY)`` of every row.
 
-    ``word_class`` stands for the sequence of words (128 bits), ``form_class`` for the letters and
-    digits. Band keys and the sketch come only with the first text of a word class in a task, so copies are
+    ``word_class`` stands for the sequence of words (128 bits; null for a text without words),
+    ``form_class`` for the letters and digits. Texts with fewer than ``run`` words have neither band
+    keys nor a sketch. Band keys and the sketch come only with the first text of a word class in a task, so copies are
     thinned out before anything is shuffled.
     """
     k = bands * rows
@@ -202,17 +203,14 @@ def fingerprints(docs: DataFrame, run: int, bands: int, rows: int, id_col: str =
                 runs = hasher.runs(hashes, run)
                 forms = canonical_digests(texts[lo:hi])
                 raw = memoryview(hashes.tobytes())
-                take, classes, sets, fresh = [], [], [], []
+                classes, sets, fresh = [], [], []
                 at = 0
-                for i, n in enumerate(counts.tolist()):
-                    if n >= run:
-                        word_class = hashlib.blake2b(raw[8 * at : 8 * (at + n)], digest_size=16).digest()
-                        take.append(i)
-                        classes.append(word_class)
-                        fresh.append(word_class not in seen)
-                        if fresh[-1]:
-                            seen.add(word_class)
-                            sets.append(np.unique(runs[at : at + n - run + 1]))
+                for n in counts.tolist():
+                    classes.append(hashlib.blake2b(raw[8 * at : 8 * (at + n)], digest_size=16).digest() if n else None)
+                    fresh.append(n >= run and classes[-1] not in seen)
+                    if fresh[-1]:
+                        seen.add(classes[-1])
+                        sets.append(np.unique(runs[at : at + n - run + 1]))
                     at += n
                 signature = signatures(sets, k)
                 keys = band_keys(signature, bands, rows)
@@ -221,8 +219,7 @@ def fingerprints(docs: DataFrame, run: int, bands: int, rows: int, id_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo).take(pa.array(take, pa.int64())), pa.array(classes, pa.binary()),
-                        pa.array([forms[i] for i in take], pa.binary()), pa.array(counts[take] if take else [], pa.int64()), lists,
+                        batch.column(0).slice(lo, hi - lo), pa.array(classes, pa.binary()), pa.array(forms, pa.binary()), pa.array(counts, pa.int64()), lists,
                         pa.array([next(short) if f else None for f in fresh], pa.binary()),
                     ],
                     names=["doc_id", "word_class", "form_class", "n_words", "keys", "sketch"],
@@ -237,16 +234,18 @@ def class_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY,
     """Similar pairs of distinct texts, and the membership of every row.
 
     Returns ``links (class_a, class_b, similarity)`` between the smallest ids of word classes, and
-    ``members (doc_id, class_id, form_class, n_copies)``. Texts with fewer than ``run`` words (null
-    and empty ones too) take no part. Similarity is the Jaccard coefficient of the distinct
+    ``members (doc_id, class_id, form_class, n_copies)``. Texts with fewer than ``run`` words are in
+    members but have no links; a row without words (null and empty texts too) is its own class. Similarity is the Jaccard coefficient of the distinct
     runs of ``run`` words, computed exactly for every candidate of the banded join.
     """
     spark = docs.sparkSession
     held = materialise(fingerprints(docs, run, bands, rows), "fingerprints")
+    wordless = held.where("word_class is null").select("doc_id", F.col("doc_id").alias("class_id"), "form_class", F.lit(1).cast("bigint").alias("n_copies"))
+    held = held.where("word_class is not null")
     classes = held.groupBy("word_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.max("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
     members = salted_join(held.select("doc_id", "word_class", "form_class"), classes.drop("sketch"), ["word_class"], "n_copies", ROWS_PER_SHARE)
-    members = materialise(members.select("doc_id", "class_id", "form_class", "n_copies"), "members")
+    members = materialise(members.select("doc_id", "class_id", "form_class", "n_copies").unionByName(wordless), "members")
 
     # One shuffle by band key. The self-join reads the same exchange twice; the skew join splits
     # the partition of a key that many different texts share.
@@ -255,7 +254,7 @@ def class_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY,
     banded = banded.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "text"])
     left, right = banded.withColumnRenamed("text", "text_a"), banded.withColumnRenamed("text", "text_b")
     pairs = left.join(right, "key").where("text_a < text_b").select("text_a", "text_b").distinct()
-    ids = classes.select(prefix.alias("text"), "class_id", "sketch")
+    ids = classes.where("sketch is not null").select(prefix.alias("text"), "class_id", "sketch")
     pairs = materialise(pairs, "candidates")
     pairs = pairs.join(ids.withColumnsRenamed({"text": "text_a", "class_id": "a", "sketch": "x"}), "text_a")
     pairs = pairs.join(ids.withColumnsRenamed({"text": "text_b", "class_id": "b", "sketch": "y"}), "text_b")
@@ -322,9 +321,9 @@ def near_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY)
 
 
 def groups(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, class_id, group_id, n_links)`` of every row with ``run`` words or more.
+    """``(doc_id, class_id, group_id, n_links)`` of every row.
 
-    ``class_id`` is the smallest id with the same words, ``group_id`` the smallest class of its
+    ``class_id`` is the smallest id with the same words (a row without words has its own), ``group_id`` the smallest class of its
     connected group, ``n_links`` the number of similar classes.
     """
     links, members = class_pairs(docs, run, similarity)
