@@ -161,9 +161,12 @@ def copies_of(values: DataFrame) -> DataFrame:
 
 
 def collapsed(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(record_set, kept_id, n_copies)``: one row for each group, single records included."""
+    """``(record_set, kept_id, n_copies)``: one row for each group, single records and records without values included."""
     parts = []
-    for name, values in (("documents", document_values(docs)), ("raw_manifest", json_values(lines))):
-        kept = collapse(values).where("record_id = kept_id")
-        parts.append(kept.select(F.lit(name).alias("record_set"), "kept_id", "n_copies"))
+    for name, values, ids in (("documents", document_values(docs), docs.select("doc_id")), ("raw_manifest", json_values(lines), lines.select("line_id"))):
+        took = materialise(collapse(values), "collapsed")
+        kept = took.where("record_id = kept_id").select("kept_id", "n_copies")
+        ids = ids.select(F.col(ids.columns[0]).cast("long").alias("record_id")).where("record_id is not null").distinct()
+        alone = ids.join(took, "record_id", "left_anti").select(F.col("record_id").alias("kept_id"), F.lit(1).cast("bigint").alias("n_copies"))
+        parts.append(kept.unionByName(alone).select(F.lit(name).alias("record_set"), "kept_id", "n_copies"))
     return parts[0].unionByName(parts[1])
