@@ -1,6 +1,7 @@
 """Evaluation passages inside a corpus: latent semantic retrieval, then word-by-word checks.
 
-Passages are tiles of 32 words, 25 apart, so that every run of 8 words lies whole in some tile.
+Passages are tiles of 32 words, 16 apart, so that every run of 17 words lies whole in some tile and a
+text of 21 words has 19 or more in one, wherever it starts.
 Tiles and query windows (every run of 8 words of every prompt and candidate text) are TF-IDF
 vectors. Only words of the evaluation texts can add to a product with a query, so only their columns
 are kept; document frequencies count all documents. A distributed randomised SVD (one pass, a
@@ -27,7 +28,7 @@ from veridoc.functions.text import word_array, words
 from veridoc.runtime import BROADCAST_BYTES, materialise
 
 RUN = 8
-TILE, STRIDE = 32, 25
+TILE, STRIDE = 32, 16
 RANK, OVERSAMPLE = 96, 16
 #: A tile is checked for a paraphrase of a passage p from this latent cosine and from this share of |p|^2 on.
 PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.6, 0.5
@@ -362,13 +363,23 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 def best_window(text: list[str], doc: list[str]) -> int:
     """Longest common subsequence of a text with any stretch of the document twice its length."""
-    span = max(2 * len(text), 1)
+    span, step = max(2 * len(text), 1), max(1, len(text) // 2)
     wanted = set(text)
-    best = 0
-    for lo in range(0, max(1, len(doc) - len(text) + 1), max(1, len(text) // 2)):
-        part = doc[lo : lo + span]
-        if sum(w in wanted for w in part) > best:
-            best = max(best, common_subsequence(text, part))
+    held = [0]
+    for w in doc:
+        held.append(held[-1] + (w in wanted))
+    last, best = max(0, len(doc) - span), 0
+    for lo in range(0, last + 1, step):
+        hi = min(last, lo + step - 1)
+        end = min(len(doc), hi + span)
+        if held[end] - held[lo] <= best:
+            continue
+        most = common_subsequence(text, doc[lo:end])  # no stretch that starts at lo..hi has more
+        for at in range(lo, hi + 1):
+            if most <= best:
+                break
+            if held[min(len(doc), at + span)] - held[at] > best:
+                best = max(best, common_subsequence(text, doc[at : at + span]))
     return best
 
 
