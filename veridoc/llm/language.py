@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions.labels import LANGUAGES, language_code
 from veridoc.functions.text import WORD, fold
+from veridoc.runtime import small
 
 CODES = list(LANGUAGES)
 NONE = len(CODES)
@@ -27,6 +28,8 @@ WINDOW = 128
 WIDTHS, FILTERS = (2, 4, 6), 16
 #: Bounds of the training sample: labelled documents taken, and training windows per class.
 TRAINING_DOCUMENTS, TRAINING_WINDOWS = 3000, 900
+#: Bound of the clean training set; more labelled sentences are an error.
+LABELLED_SENTENCES = 10_000
 EPOCHS, BATCH, RATE, SEED = 14, 128, 0.01, 5
 #: A segment counts as a full sentence from so many words (Japanese: characters) and this confidence on;
 #: the only sentence of a second language in a document needs more confidence.
@@ -272,7 +275,7 @@ def training_rows(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> DataFrame:
 
 def detector(docs: DataFrame, samples: DataFrame) -> Network:
     """Train on the labelled sentences and on a bounded sample of labelled documents."""
-    clean = [(r["lang"], r["text"]) for r in samples.select(language_code("lang").alias("lang"), "text").orderBy("lang", "text").limit(10_000).collect()]
+    clean = [(r["lang"], r["text"]) for r in small(samples.select(language_code("lang").alias("lang"), "text").orderBy("lang", "text"), LABELLED_SENTENCES, "labelled sentences")]
     taken = sorted((r["code"], r["text"]) for r in training_rows(docs).collect())
     return train([x for x in clean if x[0]], taken)
 
