@@ -40,7 +40,7 @@ _PAIR_BLOCK = 1 << 16
 #: Windows are padded with zero bytes to a multiple of this, in training too.
 BLOCK = 16
 
-_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+_FENCE = re.compile(r"```.*?```", re.S)
 _BREAK = re.compile(r"[.!?…;]+[\"”»’)\]]*(?:\s+|\Z)|[。！？]+[」』”]*|\n\s*\n|\s[–—]\s|\n(?==)|\n(?=[-*#|>])|\[\[|\]\]|[«»„“”]")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _KANA = re.compile(r"[぀-ヿ]")
@@ -52,8 +52,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     if "```" in text:
-        text = _FENCE.sub(lambda m: "\n\n" + " " * (len(m[0]) - 2) if len(m[0]) > 2 else m[0], text)
-        text = text.replace("\n\n ", "\n\n\n")
+        text = _FENCE.sub(lambda m: "\n" * len(m[0]), text)
     out, lo = [], 0
     for m in _BREAK.finditer(text):
         if m.start() > lo:
@@ -281,46 +280,89 @@ def detector(docs: DataFrame, samples: DataFrame) -> Network:
 
 
 def segment_languages(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, int, float, bool, int]]]:
-    """Per text: ``(from, to, class, confidence, full sentence, bytes)`` of each segment that has letters."""
+    """Per text: ``(from, to, class, confidence, full sentence, bytes)`` of each segment that has letters.
+
+    Neighbouring short segments of one line (short sentences, pieces between links and quotes) are
+    one full sentence where they are long enough together and of one language.
+    """
     items: list[bytes] = []
-    plan: list[list[tuple[int, int, int, int, bool]]] = []
+    plan: list[list[tuple[int, int, int, int, bool, list]]] = []
+
+    def place(part: str) -> tuple[int, int]:
+        cut = windows(part)
+        items.extend(cut)
+        return len(items) - len(cut), len(items)
+
+    def close(short: list[tuple[int, int, int]], text: str, mine: list) -> None:
+        """Lay the short segments out, with all of them as one piece where that is a full sentence."""
+        ones = [(a, b, *place(text[a:b]), False, n) for a, b, n in short if n >= 3]
+        joined = " ".join(text[a:b] for a, b, _ in short) if len(short) > 1 else ""
+        if is_sentence(joined):
+            mine.append((short[0][0], short[-1][1], *place(joined), True, ones))
+        else:
+            mine += [(*x[:5], None) for x in ones]
+        short.clear()
+
     for text in texts:
-        mine = []
+        mine, short = [], []
         for a, b in sentences(text):
             part = text[a:b]
             n = len(_LETTERS.findall(part))
             full = is_sentence(part, n)
-            if full or n >= 3:
-                cut = windows(part)
-                mine.append((a, b, len(items), len(items) + len(cut), full))
-                items += cut
+            if short and (full or "\n" in text[short[-1][1] : a]):
+                close(short, text, mine)
+            if full:
+                mine.append((a, b, *place(part), True, None))
+            elif n:
+                short.append((a, b, n))
+        if short:
+            close(short, text, mine)
         plan.append(mine)
     p = net.probabilities(items)
     size = np.fromiter(map(len, items), np.int64, len(items))
     first, sure, bytes_of = p.argmax(1).tolist(), p.max(1).tolist(), size.tolist()
+
+    def rows_of(a: int, b: int, lo: int, hi: int, full: bool) -> list[tuple[int, int, int, float, bool, int]]:
+        if hi - lo == 1:
+            return [(a, b, first[lo], sure[lo], full, bytes_of[lo])]
+        if hi - lo == 2 and first[lo] == first[lo + 1]:
+            x, y, k = bytes_of[lo], bytes_of[lo + 1], first[lo]
+            return [(a, b, k, sure[lo] * (x / (x + y)) + sure[lo + 1] * (y / (x + y)), full, x + y)]
+        # A long stretch without sentence ends: neighbouring windows of one language form a part.
+        rows, start = [], 0
+        for i in range(1, hi - lo + 1):
+            if i == hi - lo or first[lo + i] != first[lo + start]:
+                mean = np.average(p[lo + start : lo + i], axis=0, weights=size[lo + start : lo + i])
+                k = first[lo + start]
+                at, to = a + (b - a) * start // (hi - lo), a + (b - a) * i // (hi - lo)
+                rows.append((at, to, k, float(mean[k]), full, int(size[lo + start : lo + i].sum())))
+                start = i
+        return rows
+
     out = []
     for mine in plan:
         rows = []
-        for a, b, lo, hi, full in mine:
-            if hi - lo == 1:
-                rows.append((a, b, first[lo], sure[lo], full, bytes_of[lo]))
+        for a, b, lo, hi, full, ones in mine:
+            made = rows_of(a, b, lo, hi, full)
+            if ones is None:
+                rows += made
                 continue
-            if hi - lo == 2:
-                x, y = bytes_of[lo], bytes_of[lo + 1]
-                mean = p[lo] * (x / (x + y)) + p[lo + 1] * (y / (x + y))
-                k = int(mean.argmax())
-                rows.append((a, b, k, float(mean[k]), full, x + y))
+            alone = [(x, n) for *at, n in ones for x in rows_of(*at)]
+            if len(made) == 1 and not any(x[2] not in (made[0][2], NONE) and x[3] >= SURE for x, _ in alone):
+                rows += made
                 continue
-            # A long stretch without sentence ends: neighbouring windows of one language form a part.
-            best = p[lo:hi].argmax(1)
-            start = 0
-            for i in range(1, hi - lo + 1):
-                if i == hi - lo or best[i] != best[start]:
-                    mean = np.average(p[lo + start : lo + i], axis=0, weights=size[lo + start : lo + i])
-                    k = int(best[start])
-                    at, to = a + (b - a) * start // (hi - lo), a + (b - a) * i // (hi - lo)
-                    rows.append((at, to, k, float(mean[k]), full, int(size[lo + start : lo + i].sum())))
-                    start = i
+            # Several languages: only neighbours of one language count together.
+            lo = 0
+            for i in range(1, len(alone) + 1):
+                if i == len(alone) or alone[i][0][2] != alone[lo][0][2] or alone[i][0][3] < SURE or alone[lo][0][3] < SURE:
+                    part = alone[lo:i]
+                    whole = len(part) > 1 and sum(n for _, n in part) >= SENTENCE_WORDS
+                    if whole:
+                        weight = sum(x[5] for x, _ in part)
+                        rows.append((part[0][0][0], part[-1][0][1], part[0][0][2], sum(x[3] * x[5] for x, _ in part) / weight, True, weight))
+                    else:
+                        rows += [x for x, _ in part]
+                    lo = i
         out.append(rows)
     return out
 
