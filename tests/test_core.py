@@ -52,6 +52,13 @@ READ = [
     ("Jul 29, 2018 12:40 a.m.", None, "UTC", None, "2018-07-29T00:40:00"),
     ("2018-11-04T01:30:00-05:00[America/Chicago]", None, None, None, "2018-11-04T06:30:00"),
     ("2018-11-04 01:30:00 CST", None, None, None, "2018-11-04T07:30:00"),
+    ("2012-06-16 17:40 America/New_York", None, None, None, "2012-06-16T21:40:00"),
+    ("2012-06-16 5:40 pm America/Chicago", None, None, None, "2012-06-16T22:40:00"),
+    ("2012-06-16 5:40 p.m. AST", None, None, None, "2012-06-16T21:40:00"),
+    ("2012-06-16 17:40 Pacific/Auckland", None, None, None, "2012-06-16T05:40:00"),
+    ("2012-06-16 17:40 PST", None, None, None, "2012-06-17T01:40:00"),
+    ("100000000", None, None, None, "1973-03-03T09:46:40"),
+    ("1545823487505771", None, None, None, "2018-12-26T11:24:47.505771"),
 ]
 
 
@@ -106,6 +113,37 @@ def test_chunked_viterbi_equals_exhaustive_search(seed):
     assert _cost(rows, path) == pytest.approx(best)
 
 
+def test_order_is_carried_through_records_that_do_not_show_it(spark):
+    """A source that writes month first, with other notations between: every open date follows the closed ones."""
+    rng = np.random.default_rng(3)
+    reg = spark.createDataFrame([("s", "UTC", None), ("t", "UTC", None)], "source_id string, native_zone string, date_order string")
+    rows, truth = [], {}
+    for i in range(400):
+        day = dt.datetime(2012, 1, 1) + dt.timedelta(days=int(rng.integers(0, 700)), hours=int(rng.integers(0, 24)))
+        source, form = ("s", "%m/%d/%Y %H:%M") if i % 2 else ("t", "%d/%m/%Y %H:%M")
+        rows.append((i, day.strftime(form if i % 5 < 2 else "%Y-%m-%dT%H:%M:00Z"), None, source))
+        truth[i] = day.strftime("%Y-%m-%dT%H:%M:00.000000Z")
+    df = spark.createDataFrame(rows, "meta_id bigint, native_timestamp string, timestamp_semantics string, source_id string")
+    got = [r for r in timestamps.normalise(df, reg, chunks=5).collect() if r.status == "inferred"]
+    assert len(got) > 30 and np.mean([r.utc_ts == truth[r.meta_id] for r in got]) >= 0.95
+
+
+def test_fold_follows_the_order_of_records(spark):
+    """Records every ten minutes over the hour that a zone had twice, without an offset."""
+    reg = spark.createDataFrame([("s", "Europe/Berlin", None)], "source_id string, native_zone string, date_order string")
+    start = dt.datetime(2018, 10, 27, 23, 0)
+    zone = dt.timezone(dt.timedelta(hours=2)), dt.timezone(dt.timedelta(hours=1))
+    rows, truth = [], {}
+    for i in range(24):
+        at = start + dt.timedelta(minutes=10 * i)
+        local = at.replace(tzinfo=dt.timezone.utc).astimezone(zone[at >= dt.datetime(2018, 10, 28, 1)])
+        rows.append((i, local.strftime("%Y-%m-%d %H:%M:%S"), None, "s"))
+        truth[i] = at.strftime("%Y-%m-%dT%H:%M:00.000000Z")
+    df = spark.createDataFrame(rows, "meta_id bigint, native_timestamp string, timestamp_semantics string, source_id string")
+    got = timestamps.normalise(df, reg, chunks=3).collect()
+    assert sum(r.status == "inferred" for r in got) == 12 and all(r.utc_ts == truth[r.meta_id] for r in got)
+
+
 def test_normalise_chooses_by_order_of_records(spark):
     reg = spark.createDataFrame([("s", "UTC", None)], "source_id string, native_zone string, date_order string")
     values = ["25/03/2013 10:00:00", "04/05/2013 10:00:00", "26/05/2013 10:00:00", None, "x"]

@@ -2,7 +2,8 @@
 
 Every value is expanded to the array of all its valid readings (notation, instant, cost). Where a
 value has several, a Viterbi pass over each source's record order picks one: it pays for a switch
-of notation between neighbouring records and for a jump backwards in time.
+of the source's date format, which is carried on through records that do not show it, and for a jump
+backwards in time.
 
 The pass is exact and distributed. Records are range-partitioned by (source, order), so a source
 with a third of all rows spreads over many chunks. Each chunk is first reduced to a min-plus
@@ -27,9 +28,13 @@ from veridoc.runtime import clean, materialise, small
 
 #: Costs of the Viterbi pass.
 SWITCH_COST, BACKWARD_COST, BACKWARD_DAY_COST = 1.0, 0.5, 0.001
-#: Cost of a reading that contradicts a declared property is infinite: such a reading is not generated.
-LATER_FOLD_COST = 0.1
+#: Cost of the later of the two instants of a wall-clock time that a zone had twice: it decides between equal paths only.
+LATER_FOLD_COST = 1e-6
 MAX_REGISTRY = 100_000
+#: Rows of one chunk of a source's run: what one task of the passes holds at once.
+CHUNK_ROWS = 200_000
+#: Instants (UTC microseconds) between which a bare count is read as seconds, milliseconds or microseconds.
+COUNT_WINDOW = (631_152_000_000_000, 4_102_444_800_000_000)
 
 # Offsets in minutes of the usual American and European zone abbreviations.
 ABBREVIATIONS = {
@@ -40,7 +45,7 @@ ABBREVIATIONS = {
 MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 DAYS = "mon tue wed thu fri sat sun".split()
 
-_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d{1,9}))?)?\s*(?P<ap>[AaPp]\.?\s?[Mm]\.?)?"
+_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d{1,9}))?)?\s*(?P<ap>[AaPp]\.?\s?[Mm](?:\.|\b))?"
 _ZONE = r"\s*(?P<z>.*)"
 _SEP = r"(?:[T\s]\s*|,\s*|\s+at\s+)"
 _NOTATIONS = [
@@ -121,11 +126,7 @@ def readings(value: str | None, semantics: str | None, native_zone: str | None,
     if value is None or not (v := value.strip()):
         return []
     if re.fullmatch(r"[+-]?\d{9,17}(?:\.\d+)?", v) and not (re.fullmatch(r"\d{12}|\d{14}", v) and _calendar(v)):
-        whole, _, part = v.partition(".")
-        digits = len(whole.lstrip("+-"))
-        scale = 1_000_000 if digits <= 11 else 1_000 if digits <= 14 else 1
-        sign = -1 if whole.startswith("-") else 1
-        return [("count", int(whole) * scale + sign * int(float("0." + (part or "0")) * scale + 0.5), 0.0)]
+        return _counts(v)
     for notation, pattern in _NOTATIONS:
         if (m := pattern.fullmatch(v)) is None:
             continue
@@ -151,6 +152,16 @@ def readings(value: str | None, semantics: str | None, native_zone: str | None,
     return []
 
 
+def _counts(v: str) -> list[tuple[str, int, float]]:
+    """Readings of a bare count: every scale that puts it into COUNT_WINDOW, else the scale that its digits suggest."""
+    whole, _, part = v.partition(".")
+    sign = -1 if whole.startswith("-") else 1
+    scaled = [int(whole) * scale + sign * int(float("0." + (part or "0")) * scale + 0.5) for scale in (1_000_000, 1_000, 1)]
+    inside = [x for x in scaled if COUNT_WINDOW[0] <= x < COUNT_WINDOW[1]]
+    digits = len(whole.lstrip("+-"))
+    return [("count", x, 0.0) for x in inside or [scaled[0 if digits <= 11 else 1 if digits <= 14 else 2]]]
+
+
 def _calendar(digits: str) -> bool:
     try:
         dt.datetime.strptime(digits, "%Y%m%d%H%M%S" if len(digits) == 14 else "%Y%m%d%H%M")
@@ -274,7 +285,8 @@ def normalise(
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sources = shared.value
         for b in batches:
-            found = [readings(v, sem, *sources.get(s, (None, None))) for v, sem, s in zip(b["value"], b["semantics"], b["source"])]
+            held = {key: readings(key[0], key[1], *sources.get(key[2], (None, None))) for key in set(zip(b["value"], b["semantics"], b["source"]))}
+            found = [held[key] for key in zip(b["value"], b["semantics"], b["source"])]
             yield pd.DataFrame({
                 "row_key": b["row_key"], "source": b["source"], "rec_order": b["rec_order"], "value": b["value"],
                 "notations": [[x[0] for x in f] for f in found], "instants": [[x[1] for x in f] for f in found], "costs": [[x[2] for x in f] for f in found],
@@ -284,7 +296,7 @@ def normalise(
         F.col(id_col).cast("long").alias("row_key"), clean(source_col).alias("source"), F.col(order_col).cast("long").alias("rec_order"),
         F.col(value_col).cast("string").alias("value"), F.col(semantics_col).cast("string").alias("semantics"),
     )
-    parts = chunks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = chunks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHUNK_ROWS))
     taken = taken.withColumn("source", F.coalesce("source", F.lit("")))
     # Ordered before the values are read: the range partitioning samples its input, which then is a plain scan.
     ordered = taken.repartitionByRange(parts, "source", "rec_order", "row_key").sortWithinPartitions("source", "rec_order", "row_key")
@@ -293,7 +305,8 @@ def normalise(
 
     # Only rows with a choice need the passes, and only sources that hold such rows.
     timed = ordered.where(F.size("instants") > 0)
-    plural = ordered.where(F.size("instants") > 1).select("chunk", "source").distinct()
+    plural = ordered.where(F.size("instants") > 1).groupBy("chunk", "source").agg(F.max(F.size(F.array_distinct("notations")) > 1).alias("orders"))
+    plural = materialise(plural, "plural")
     if plural.limit(1).count():
         chosen = _viterbi(timed, plural)
         joined = ordered.join(chosen, "pos", "left")
@@ -311,14 +324,31 @@ def normalise(
     )
 
 
-def _rows(pdf: pd.DataFrame) -> list[tuple[list, np.ndarray, np.ndarray]]:
-    return [(list(f), np.asarray(t, np.int64), np.asarray(c, float)) for f, t, c in zip(pdf["notations"], pdf["instants"], pdf["costs"])]
+_ORDERS = ["numeric-dmy", "numeric-mdy", "numeric-ymd"]
+
+
+def _states(pdf: pd.DataFrame) -> tuple[list[tuple[list, np.ndarray, np.ndarray]], list[list[int]]]:
+    """The rows of a run as states ``(formats, times, costs)``, and the reading that each state stands for.
+
+    The format of a state is the date order that the source writes at that place. A row whose
+    readings say nothing about it carries every order on, so a numeric date is compared with the
+    last numeric date before it and not with the row before it. Where no row of a source is open in its
+    order there is one format.
+    """
+    rows, which = [], []
+    for notations, instants, costs, orders in zip(pdf["notations"], pdf["instants"], pdf["costs"], pdf["orders"]):
+        made = [(k, i) for i, n in enumerate(notations) for k in ([""] if not orders else [n] if n in _ORDERS else _ORDERS)]
+        at = [i for _, i in made]
+        rows.append(([k for k, _ in made], np.asarray(instants, np.int64)[at], np.asarray(costs, float)[at]))
+        which.append(at)
+    return rows, which
 
 
 def _deciding(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a run that bear on a choice: those with several readings, their neighbours, and both ends.
+    """The rows of a run that bear on a choice: those with several readings, their neighbours, both ends,
+    and, where orders are open, the first and last numeric date of each stretch of one order.
 
-    A step between two rows of one reading each costs the same on every path and can be left out.
+    Any other row costs the same on every path and can be left out.
     """
     pdf = pdf.sort_values("pos")
     plural = pdf["notations"].map(len).to_numpy() > 1
@@ -326,15 +356,23 @@ def _deciding(pdf: pd.DataFrame) -> pd.DataFrame:
     keep[1:] |= plural[:-1]
     keep[:-1] |= plural[1:]
     keep[[0, -1]] = True
+    if pdf["orders"].iloc[0]:
+        label = np.array([_ORDERS.index(n[0]) if len(n) == 1 and n[0] in _ORDERS else 3 + (len(n) > 1) for n in pdf["notations"]])
+        at = np.flatnonzero(label != 3)
+        if len(at):
+            change = np.flatnonzero(label[at][1:] != label[at][:-1])
+            keep[at[[0, -1]]] = True
+            keep[at[change]] = True
+            keep[at[change + 1]] = True
     return pdf[keep]
 
 
 def _viterbi(timed: DataFrame, plural: DataFrame) -> DataFrame:
     """``(pos, choice)`` of the rows with several readings."""
-    touched = plural.select("source").distinct()
+    touched = plural.groupBy("source").agg(F.max("orders").alias("orders"))
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        run = _rows(_deciding(pdf))
+        run, _ = _states(_deciding(pdf))
         n = len(run[0][0])
         cost = np.where(np.eye(n, dtype=bool), run[0][2][None, :], np.inf)
         for (f0, t0, _), (f1, t1, own) in zip(run, run[1:]):
@@ -345,7 +383,8 @@ def _viterbi(timed: DataFrame, plural: DataFrame) -> DataFrame:
             "f1": [run[-1][0]], "t1": [run[-1][1].tolist()], "m": [cost.ravel().tolist()],
         })
 
-    mine = timed.join(touched, "source", "left_semi")
+    # One row for each source with a choice: few beside the rows, joined without a broadcast hint.
+    mine = timed.join(touched, "source")
     matrices = mine.groupBy("chunk", "source").applyInPandas(
         summarise, "chunk int, source string, f0 array<string>, t0 array<bigint>, f1 array<string>, t1 array<bigint>, m array<double>"
     )
@@ -364,9 +403,10 @@ def _viterbi(timed: DataFrame, plural: DataFrame) -> DataFrame:
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _deciding(pdf)
-        path = decode(_rows(pdf), int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
+        run, which = _states(pdf)
+        path = decode(run, int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
         keep = pdf["notations"].map(len) > 1
-        return pd.DataFrame({"pos": pdf["pos"], "choice": path})[keep]
+        return pd.DataFrame({"pos": pdf["pos"], "choice": [w[k] for w, k in zip(which, path)]})[keep]
 
     return mine.join(ends, ["chunk", "source"]).join(plural, ["chunk", "source"], "left_semi").groupBy("chunk", "source").applyInPandas(settle, "pos bigint, choice int")
 
