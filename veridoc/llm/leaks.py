@@ -9,9 +9,10 @@ Nystrom sketch of the Gram matrix summed over all tiles) gives the latent space.
 
 The search is lossless for exact leaks: for a tile t that holds window q, <t, q> >= |q|^2, and
 <t, q> <= <z_t, z_q> + r_t r_q with the latent vectors z and the lengths r of what the projection
-dropped. A pair is a candidate if that bound allows an exact leak or if its latent product and cosine
-with a longer passage of an evaluation text reach the paraphrase limits. Candidates are then checked on the words of the whole document: longest
-common run, longest common subsequence, and whether an answer of the item occurs.
+dropped. A tile without eight neighbouring words of the vocabulary holds no window and skips that part. A pair
+is a candidate if that bound allows an exact leak or if its latent product and cosine with a longer
+passage of an evaluation text reach the paraphrase limits. Candidates are then checked on the words of the
+whole document: longest common run, longest common subsequence, and whether an answer of the item occurs.
 """
 
 from __future__ import annotations
@@ -31,33 +32,45 @@ RUN = 8
 TILE, STRIDE = 32, 16
 RANK, OVERSAMPLE = 96, 16
 #: A tile is checked for a paraphrase of a passage p from this latent cosine and from this share of |p|^2 on.
-PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.6, 0.5
+PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.25, 0.25
 #: Share of a text's words in the longest common subsequence that makes a paraphrase.
 PARAPHRASE_LCS = 0.7
 PASSAGE_STRIDE = 8
-#: Bound of the evaluation side: words over all its texts (the driver and each worker hold them).
-MAX_EVALUATION_WORDS = 5_000_000
+#: Characters of evaluation texts that driver and workers hold at once; more texts go through in blocks.
+BLOCK_CHARACTERS = 600_000
 CHUNK_CHARS = 1 << 20
 _BLOCKS = 16
 #: Occurrences handled at once in a worker.
 PART_TOKENS = 24_000
 
 
+def evaluation_texts(items: DataFrame) -> DataFrame:
+    """``(item_id, form_no, kind, text)``: prompts and candidate texts, repeated ones once."""
+    forms = items.select("item_id", F.posexplode("forms").alias("form_no", "form"))
+    prompts = forms.select("item_id", "form_no", F.lit("prompt").alias("kind"), F.col("form.prompt").alias("text"))
+    answers = forms.select("item_id", "form_no", F.explode("form.candidates").alias("c")).select("item_id", "form_no", F.lit("candidate").alias("kind"), F.col("c.text").alias("text"))
+    return prompts.unionByName(answers).where(F.col("text").isNotNull()).distinct()
+
+
+def evaluation_blocks(items: DataFrame, run: int = RUN, most: int = BLOCK_CHARACTERS) -> Iterator["Evaluation"]:
+    """The evaluation texts in blocks of about ``most`` characters; the texts of one form stay together."""
+    texts = evaluation_texts(items)
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-size // most)
+    block = F.pmod(F.xxhash64("item_id", "form_no"), F.lit(max(1, blocks)))
+    for number in range(blocks):
+        yield Evaluation(texts.where(block == number).sort("item_id", "form_no", "kind", "text").collect(), run)  # bounded by ``most``
+
+
 class Evaluation:
-    """The evaluation texts: prompts and candidate texts with their items, windows and vocabulary."""
+    """One block of evaluation texts with their items, windows and vocabulary."""
 
-    def __init__(self, items: DataFrame, run: int = RUN) -> None:
+    def __init__(self, rows: list, run: int = RUN) -> None:
         self.run = run
-        forms = items.select("item_id", F.posexplode("forms").alias("form_no", "form"))
-        prompts = forms.select("item_id", "form_no", F.lit("prompt").alias("kind"), F.col("form.prompt").alias("text"))
-        answers = forms.select("item_id", "form_no", F.explode("form.candidates").alias("c")).select("item_id", "form_no", F.lit("candidate").alias("kind"), F.col("c.text").alias("text"))
-        rows = prompts.unionByName(answers).where(F.col("text").isNotNull()).distinct().sort("item_id", "form_no", "kind", "text").collect()  # a held-out set, bounded below
         self.item = [r["item_id"] for r in rows]
         self.form = [(r["item_id"], r["form_no"]) for r in rows]
         self.kind = [r["kind"] for r in rows]
         self.words = [words(r["text"]) for r in rows]
-        if sum(map(len, self.words)) > MAX_EVALUATION_WORDS:
-            raise ValueError(f"evaluation texts hold more than {MAX_EVALUATION_WORDS} words")
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.words for w in t}))}
         windows: dict[tuple[int, ...], list[int]] = {}
         for n, text in enumerate(self.words):
@@ -78,6 +91,7 @@ class Evaluation:
                     owners.append(n)
         self.passages = list(passages)
         self.passage_owners = list(passages.values())
+        self.distinct = [np.unique([self.vocabulary[w] for w in t]).astype(np.int64) for t in self.words]
 
 
 def occurrences(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,8 +135,9 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def tiles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tiles of a batch of occurrences: row of the batch per tile, first token per tile, term per token."""
+def tiles(batch: pa.RecordBatch, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tiles of a batch of occurrences: row of the batch per tile, first token per tile, term per token, and
+    whether ``run`` neighbouring words of the tile are all in the vocabulary (without that it holds no query window)."""
     at = batch.column("at").flatten().to_numpy().astype(np.int64)
     term = batch.column("term").flatten().to_numpy().astype(np.int64)
     counts = np.diff(batch.column("at").offsets.to_numpy())
@@ -130,11 +145,18 @@ def tiles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = at // STRIDE
     again = np.flatnonzero((at % STRIDE < TILE - STRIDE) & (first > 0))
     key = np.concatenate([(row << 32) | first, (row[again] << 32) | (first[again] - 1)])
-    token = np.concatenate([term, term[again]])
+    token, place = np.concatenate([term, term[again]]), np.concatenate([at, at[again]])
     order = np.argsort(key, kind="stable")
-    key, token = key[order], token[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[starts] >> 32, starts, token
+    key, token, place = key[order], token[order], place[order]
+    if not len(key):
+        return key, np.zeros(0, np.int64), token, np.zeros(0, bool)
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    starts = np.flatnonzero(new)
+    heads = np.flatnonzero(new | np.concatenate([[True], np.diff(place) != 1]))
+    long = heads[np.diff(np.append(heads, len(key))) >= run]
+    dense = np.zeros(len(starts), bool)
+    dense[np.searchsorted(starts, long, side="right") - 1] = True
+    return key[starts] >> 32, starts, token, dense
 
 
 def _parts(batch: pa.RecordBatch, most: int = PART_TOKENS) -> Iterator[pa.RecordBatch]:
@@ -168,7 +190,7 @@ def sketch(held: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
         weight, om = shared.value
         total = np.zeros((m, width))
         for batch in (part for whole in batches for part in _parts(whole)):
-            _, starts, token = tiles(batch)
+            _, starts, token, _ = tiles(batch)
             if not len(token):
                 continue
             scaled = weight[token]
@@ -254,6 +276,7 @@ def candidates(held: DataFrame, evaluation: Evaluation, rank: int = RANK) -> Dat
     rq = np.sqrt(np.maximum(q2 - (zq.astype(float) ** 2).sum(1), 0))
     order = np.argsort(q2)
     exact = (zq[order], q2[order], rq[order], *_flat([evaluation.owners[i] for i in order]))
+    run = evaluation.run
     lengths = np.array([len(x) for x in evaluation.passages])
     zp, p2 = _vectors(np.concatenate([np.array(x) for x in evaluation.passages]), np.cumsum(lengths) - lengths, idf, basis)
     order = np.argsort(p2)
@@ -262,36 +285,37 @@ def candidates(held: DataFrame, evaluation: Evaluation, rank: int = RANK) -> Dat
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, base, (z_q, s_q, r_q, q_text, q_first), (z_p, s_p, p_text, p_first) = shared.value
-        least = min(s_q[0], PARAPHRASE_SHARE**2 * s_p[0])
+        least = PARAPHRASE_SHARE**2 * s_p[0]
         for batch in (part for whole in batches for part in _parts(whole)):
-            row, starts, token = tiles(batch)
+            row, starts, token, dense = tiles(batch, run)
             if not len(token):
                 continue
             z, square = _vectors(token, starts, weight, base)
-            # |q|^2 <= <t, q> <= |t| |q| fails for tiles shorter than every query.
-            live = np.flatnonzero(square * 1.001 >= least)
-            live = live[np.argsort(square[live])]
             docs, texts, cosines = [], [], []
-            for lo in range(0, len(live), 512):
-                mine = live[lo : lo + 512]
+
+            def add(tile: np.ndarray, text_of: np.ndarray, offset: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> None:
+                times = offset[b + 1] - offset[b]
+                at = np.repeat(offset[b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                docs.append(np.repeat(row[tile], times))
+                texts.append(text_of[at])
+                cosines.append(np.repeat(cosine, times))
+
+            # |q|^2 <= <t, q> <= |t| |q| fails for tiles shorter than every query.
+            for mine in _blocks_by(square, np.flatnonzero(dense & (square * 1.001 >= (s_q[0] if len(s_q) else np.inf)))):
                 t2 = square[mine]
                 left = np.sqrt(np.maximum(t2 - (z[mine].astype(float) ** 2).sum(1), 0)).astype(np.float32)
                 top = int(np.searchsorted(s_q, t2[-1] * 1.001, side="right"))
                 dot = z[mine] @ z_q[:top].T
                 a, b = np.nonzero(dot + left[:, None] * r_q[:top].astype(np.float32) >= (0.999 * s_q[:top]).astype(np.float32))
-                parts = [(a, q_text, q_first, b, dot[a, b] / np.sqrt(t2[a] * s_q[b]))]
+                add(mine[a], q_text, q_first, b, dot[a, b] / np.sqrt(t2[a] * s_q[b]))
+            for mine in _blocks_by(square, np.flatnonzero(square * 1.001 >= least)):
+                t2 = square[mine]
                 top = int(np.searchsorted(s_p, t2[-1] / PARAPHRASE_SHARE**2 * 1.001, side="right"))
                 dot = z[mine] @ z_p[:top].T
                 a, b = np.nonzero(dot >= (PARAPHRASE_SHARE * s_p[:top]).astype(np.float32))
                 cosine = dot[a, b] / np.sqrt(t2[a] * s_p[b])
                 keep = cosine >= PARAPHRASE_COSINE
-                parts.append((a[keep], p_text, p_first, b[keep], cosine[keep]))
-                for a, text_of, offset, b, cosine in parts:
-                    times = offset[b + 1] - offset[b]
-                    at = np.repeat(offset[b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    docs.append(np.repeat(row[mine[a]], times))
-                    texts.append(text_of[at])
-                    cosines.append(np.repeat(cosine, times))
+                add(mine[a[keep]], p_text, p_first, b[keep], cosine[keep])
             if docs and sum(map(len, docs)):
                 doc, text, value = np.concatenate(docs), np.concatenate(texts), np.concatenate(cosines)
                 key = (doc << 32) | text
@@ -306,15 +330,22 @@ def candidates(held: DataFrame, evaluation: Evaluation, rank: int = RANK) -> Dat
     return found.groupBy("doc_id", "text_no").agg(F.max("cosine").alias("cosine"))
 
 
+def _blocks_by(square: np.ndarray, rows: np.ndarray, most: int = 512) -> Iterator[np.ndarray]:
+    """The given tiles in blocks of bounded size, shortest vectors first."""
+    rows = rows[np.argsort(square[rows])]
+    for lo in range(0, len(rows), most):
+        yield rows[lo : lo + most]
+
+
 def _flat(owners: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Lists end to end, and where each begins."""
-    return np.concatenate([np.array(o, np.int64) for o in owners]), np.cumsum([0, *map(len, owners)])
+    return np.concatenate([np.zeros(0, np.int64), *(np.array(o, np.int64) for o in owners)]), np.cumsum([0, *map(len, owners)])
 
 
-def longest_runs(doc: list[str], evaluation: Evaluation, hits: set[int]) -> dict[int, int]:
-    """Longest run of words that a document shares with each of the given evaluation texts, if 8 or more."""
-    run, vocabulary = evaluation.run, evaluation.vocabulary
-    ids = [vocabulary.get(w, -1) for w in doc]
+def longest_runs(doc: list[str], ids: list[int], evaluation: Evaluation, hits: set[int]) -> dict[int, int]:
+    """Longest run of words that a document (its words, and their vocabulary numbers) shares with each of the given
+    evaluation texts, if 8 or more."""
+    run = evaluation.run
     best: dict[int, int] = {}
     length: dict[int, int] = {}  # of the run that ends here, by text
     for i in range(len(ids) - run + 1):
@@ -361,6 +392,16 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - state.bit_count()
 
 
+def most_shared(ids: np.ndarray, wanted: np.ndarray, span: int, scratch: np.ndarray) -> int:
+    """Most places that any stretch of ``span`` words fills with wanted words: no common subsequence there is longer."""
+    scratch[wanted] = True
+    upto = np.concatenate([[0], np.cumsum(scratch[ids])])
+    scratch[wanted] = False
+    if len(ids) <= span:
+        return int(upto[-1])
+    return int((upto[span:] - upto[:-span]).max())
+
+
 def best_window(text: list[str], doc: list[str]) -> int:
     """Longest common subsequence of a text with any stretch of the document twice its length."""
     span, step = max(2 * len(text), 1), max(1, len(text) // 2)
@@ -383,33 +424,48 @@ def best_window(text: list[str], doc: list[str]) -> int:
     return best
 
 
-def leaks(docs: DataFrame, manifest: DataFrame | None, items: DataFrame, rank: int = RANK) -> DataFrame:
-    """``(doc_id, item_id, kind, cosine, run_words, lcs_share, answer_share)``: one row per leaked evaluation text.
+_SCHEMA = "doc_id bigint, item_id string, kind string, cosine double, run_words int, lcs_share double, answer_share double"
+
+
+def leaks(docs: DataFrame, manifest: DataFrame | None, items: DataFrame, rank: int = RANK, most: int = BLOCK_CHARACTERS) -> DataFrame:
+    """``(doc_id, item_id, kind, cosine, run_words, lcs_share, answer_share, in_manifest)``: one row per leaked evaluation text.
 
     ``kind`` is 'exact' where a run of 8 words or more of one evaluation text stands in the
-    document (``run_words``), 'paraphrase' where the latent cosine, the share of the text's words in
-    the longest common subsequence and an answer of the same form agree. With a manifest only
-    documents it points to count. Null and empty texts leak nothing; an item without an
-    id leaks under the null id; no items or no documents give an empty result.
+    document (``run_words``), 'paraphrase' where the latent product, the share of the text's words in
+    the longest common subsequence and an answer of the same form agree. Every document is searched;
+    ``in_manifest`` says whether the manifest points to it by its path (null without a manifest). Null and empty
+    texts leak nothing; an item without an id leaks under the null id; no items or no documents give an empty
+    result. Evaluation texts of more than ``most`` characters go over the documents in blocks.
     """
-    evaluation = Evaluation(items)
-    schema = "doc_id bigint, item_id string, kind string, cosine double, run_words int, lcs_share double, answer_share double"
-    if not len(evaluation.windows):
-        return docs.sparkSession.createDataFrame([], schema)
+    parts = [_block_leaks(docs, evaluation, rank) for evaluation in evaluation_blocks(items, most=most) if evaluation.vocabulary]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], _SCHEMA + ", in_manifest boolean")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    if manifest is None:
+        return found.withColumn("in_manifest", F.lit(None).cast("boolean"))
+    found = materialise(found, "leaks")
+    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path_key("content_path").alias("k")).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    pointed = manifest.where(F.col("content_path").isNotNull()).select(path_key("content_path").alias("k"))
+    pointed = paths.join(pointed, "k", "left_semi").select("doc_id").distinct().withColumn("_there", F.lit(True))
+    return found.join(pointed, "doc_id", "left").withColumn("in_manifest", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def _block_leaks(docs: DataFrame, evaluation: Evaluation, rank: int) -> DataFrame:
     held = materialise(occurrences(docs, evaluation.vocabulary), "occurrences")
     found = materialise(candidates(held, evaluation, rank).groupBy("doc_id").agg(F.collect_list(F.struct("text_no", "cosine")).alias("hits")), "candidates")
     needed = found.select("doc_id")
     few = needed.limit(BROADCAST_BYTES // 32 + 1).count() <= BROADCAST_BYTES // 32
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "content_path" if manifest is not None else F.lit("").alias("content_path"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
-    if manifest is not None:
-        pointed = manifest.where(F.col("content_path").isNotNull()).select(path_key("content_path").alias("k"))
-        texts = texts.withColumn("k", path_key("content_path")).join(pointed, "k", "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(evaluation)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ev = shared.value
-        item, form, content = ev.item, ev.form, ev.words
+        item, form, content, vocabulary = ev.item, ev.form, ev.words, ev.vocabulary
+        other = len(vocabulary)
+        scratch = np.zeros(other + 1, bool)
         answers: dict[tuple, list[int]] = {}
         for n, f in enumerate(form):
             if ev.kind[n] == "candidate":
@@ -418,12 +474,17 @@ def leaks(docs: DataFrame, manifest: DataFrame | None, items: DataFrame, rank: i
             rows = []
             for doc_id, text, hits in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 body = words(text)
-                runs = longest_runs(body, ev, {h["text_no"] for h in hits})
+                ids = [vocabulary.get(w, other) for w in body]
+                places = np.array(ids, np.int64)
+                runs = longest_runs(body, ids, ev, {h["text_no"] for h in hits})
                 shares: dict[int, float] = {}
 
                 def share(k: int) -> float:
+                    """Share of the text's words in order; where it cannot reach the limit, only a bound of it."""
                     if k not in shares:
-                        shares[k] = best_window(content[k], body) / max(1, len(content[k]))
+                        n = max(1, len(content[k]))
+                        bound = most_shared(places, ev.distinct[k], 2 * n, scratch)
+                        shares[k] = (best_window(content[k], body) if bound >= PARAPHRASE_LCS * n else bound) / n
                     return shares[k]
 
                 for hit in hits:
@@ -438,7 +499,7 @@ def leaks(docs: DataFrame, manifest: DataFrame | None, items: DataFrame, rank: i
             kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "kind", "cosine", "run_words", "lcs_share", "answer_share"])
 
-    return texts.select("doc_id", "text").join(found, "doc_id").mapInArrow(check, schema)
+    return texts.select("doc_id", "text").join(found, "doc_id").mapInArrow(check, _SCHEMA)
 
 
 def exact(found: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ _PATH = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(content_path))
 SQL: dict[str, str] = {
     "p3_found": f"""WITH f AS (SELECT item_id, unnest(forms) AS f FROM eval_items), t AS (SELECT item_id, f.prompt AS text FROM f UNION ALL SELECT item_id, unnest(f.candidates).text FROM f),
  q AS (SELECT item_id, {_WORDS.format('text')} AS w FROM t), g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1,len(w)-6), lambda i: array_to_string(w[i:i+7],' '))) AS x FROM q WHERE len(w)>=8),
- d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE {_PATH} IN (SELECT {_PATH} FROM manifest)),
+ d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
  h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1,len(w)-6), lambda i: array_to_string(w[i:i+7],' '))) AS x FROM d WHERE len(w)>=8) SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (x)""",
     "p5_found": f"""WITH m AS (SELECT record_id, {_CLEAN.format('source_id')} AS s, {_CLEAN.format('era_window')} AS e, list_transform(coalesce(review_strata,[]), lambda x: {_CLEAN.format('x')}) AS r FROM source_metadata WHERE record_id IS NOT NULL)
  SELECT t.draw_id, t.target_no FROM sample_targets t LEFT JOIN m ON (t.source_id IS NULL OR m.s={_CLEAN.format('t.source_id')}) AND (t.era_window IS NULL OR m.e={_CLEAN.format('t.era_window')})
