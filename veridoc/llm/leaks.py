@@ -17,6 +17,7 @@ whole document: longest common run, longest common subsequence, and whether an a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,6 +160,14 @@ def tiles(batch: pa.RecordBatch, run: int = RUN) -> tuple[np.ndarray, np.ndarray
     return key[starts] >> 32, starts, token, dense
 
 
+def apart(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The tiles of a batch that do not overlap: first token per tile, term per token."""
+    at = batch.column("at").flatten().to_numpy()
+    counts = np.diff(batch.column("at").offsets.to_numpy())
+    key = (np.repeat(np.arange(len(counts)), counts) << 32) | (at // TILE)
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key, batch.column("term").flatten().to_numpy()
+
+
 def _parts(batch: pa.RecordBatch, most: int = PART_TOKENS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` occurrences, so that the work space of a worker stays small."""
     ends = np.cumsum(np.diff(batch.column("at").offsets.to_numpy()))
@@ -180,9 +189,12 @@ def document_frequency(held: DataFrame, size: int) -> np.ndarray:
 
 
 def sketch(held: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """(A^T A) omega for the tile matrix A, summed over the cluster in two levels of partial sums."""
+    """(A^T A) omega for the tile matrix A, summed over the cluster in two levels of partial sums.
+
+    Every second tile is taken: these tile each text without overlap, so every word of every text counts once.
+    """
     spark = held.sparkSession
-    shared = spark.sparkContext.broadcast((idf, omega))
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), omega.astype(np.float32)))
     m, width = omega.shape
     step = -(-m // _BLOCKS)
 
@@ -190,7 +202,7 @@ def sketch(held: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
         weight, om = shared.value
         total = np.zeros((m, width))
         for batch in (part for whole in batches for part in _parts(whole)):
-            _, starts, token, _ = tiles(batch)
+            starts, token = apart(batch)
             if not len(token):
                 continue
             scaled = weight[token]
@@ -392,24 +404,37 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - state.bit_count()
 
 
-def most_shared(ids: np.ndarray, wanted: np.ndarray, span: int, scratch: np.ndarray) -> int:
-    """Most places that any stretch of ``span`` words fills with wanted words: no common subsequence there is longer."""
-    scratch[wanted] = True
-    upto = np.concatenate([[0], np.cumsum(scratch[ids])])
-    scratch[wanted] = False
-    if len(ids) <= span:
-        return int(upto[-1])
-    return int((upto[span:] - upto[:-span]).max())
+def most_shared(ids: np.ndarray, wanted: list[np.ndarray], spans: list[int], size: int) -> np.ndarray:
+    """Per text, the most places that any stretch of ``span`` words of a document fills with words of the text.
 
+    No common subsequence with such a stretch is longer. ``ids`` are the document's words as numbers below ``size``.
+    """
+    out = np.zeros(len(wanted), np.int64)
+    present, local = np.unique(ids, return_inverse=True)
+    column = np.full(size, -1, np.int32)
+    column[present] = np.arange(len(present))
+    for lo in range(0, len(wanted), 64):  # bounded work space
+        part = wanted[lo : lo + 64]
+        at = column[np.concatenate(part)]
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        held = np.zeros((len(part), len(present)), np.int8)
+        held[row[at >= 0], at[at >= 0]] = 1
+        upto = np.zeros((len(part), len(ids) + 1), np.int32)
+        np.cumsum(held[:, local], axis=1, out=upto[:, 1:])
+        for span in set(spans[lo : lo + 64]):
+            mine = np.flatnonzero(np.array(spans[lo : lo + 64]) == span)
+            out[lo + mine] = (upto[mine, span:] - upto[mine, :-span]).max(1) if len(ids) > span else upto[mine, -1]
+    return out
 
-def best_window(text: list[str], doc: list[str]) -> int:
-    """Longest common subsequence of a text with any stretch of the document twice its length."""
+
+def best_window(text: list[str], doc: list[str], least: int = 1) -> int:
+    """Longest common subsequence of a text with any stretch of the document twice its length; 0 if below ``least``."""
     span, step = max(2 * len(text), 1), max(1, len(text) // 2)
     wanted = set(text)
     held = [0]
     for w in doc:
         held.append(held[-1] + (w in wanted))
-    last, best = max(0, len(doc) - span), 0
+    last, best = max(0, len(doc) - span), least - 1
     for lo in range(0, last + 1, step):
         hi = min(last, lo + step - 1)
         end = min(len(doc), hi + span)
@@ -421,7 +446,7 @@ def best_window(text: list[str], doc: list[str]) -> int:
                 break
             if held[min(len(doc), at + span)] - held[at] > best:
                 best = max(best, common_subsequence(text, doc[at : at + span]))
-    return best
+    return best if best >= least else 0
 
 
 _SCHEMA = "doc_id bigint, item_id string, kind string, cosine double, run_words int, lcs_share double, answer_share double"
@@ -465,7 +490,6 @@ def _block_leaks(docs: DataFrame, evaluation: Evaluation, rank: int) -> DataFram
         ev = shared.value
         item, form, content, vocabulary = ev.item, ev.form, ev.words, ev.vocabulary
         other = len(vocabulary)
-        scratch = np.zeros(other + 1, bool)
         answers: dict[tuple, list[int]] = {}
         for n, f in enumerate(form):
             if ev.kind[n] == "candidate":
@@ -475,25 +499,28 @@ def _block_leaks(docs: DataFrame, evaluation: Evaluation, rank: int) -> DataFram
             for doc_id, text, hits in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 body = words(text)
                 ids = [vocabulary.get(w, other) for w in body]
-                places = np.array(ids, np.int64)
                 runs = longest_runs(body, ids, ev, {h["text_no"] for h in hits})
+                # Texts that might be a paraphrase here, and the answers that would have to stand beside them.
+                open_ = [h["text_no"] for h in hits if h["text_no"] not in runs and h["cosine"] >= PARAPHRASE_COSINE]
+                asked = sorted({*open_, *(k for n in open_ for k in answers.get(form[n], []))})
+                bound = dict(zip(asked, most_shared(np.array(ids, np.int64), [ev.distinct[k] for k in asked], [2 * max(1, len(content[k])) for k in asked], other + 1).tolist())) if asked else {}
                 shares: dict[int, float] = {}
 
                 def share(k: int) -> float:
-                    """Share of the text's words in order; where it cannot reach the limit, only a bound of it."""
+                    """Share of the text's words in order; 0 where it does not reach the limit."""
                     if k not in shares:
                         n = max(1, len(content[k]))
-                        bound = most_shared(places, ev.distinct[k], 2 * n, scratch)
-                        shares[k] = (best_window(content[k], body) if bound >= PARAPHRASE_LCS * n else bound) / n
+                        least = math.ceil(PARAPHRASE_LCS * n - 1e-9)
+                        shares[k] = best_window(content[k], body, least) / n if bound[k] >= least else 0.0
                     return shares[k]
 
                 for hit in hits:
                     n = hit["text_no"]
                     if n in runs:
                         rows.append((doc_id, item[n], "exact", hit["cosine"], runs[n], None, None))
-                    elif hit["cosine"] >= PARAPHRASE_COSINE and share(n) >= PARAPHRASE_LCS:
+                    elif n in bound and share(n):
                         answer = max((share(k) for k in answers.get(form[n], [])), default=0.0)
-                        if answer >= PARAPHRASE_LCS:
+                        if answer:
                             rows.append((doc_id, item[n], "paraphrase", hit["cosine"], 0, share(n), answer))
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
