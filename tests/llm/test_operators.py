@@ -217,8 +217,8 @@ def test_targets_that_cannot_be_met(spark, data):
 
 def test_language_held_out_accuracy(spark, data):
     samples = [(r.lang, r.text) for r in spark.read.parquet(f"{data}/lang_samples.parquet").collect()]
-    docs = language.training_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 600).collect()
-    net = language.train([s for i, s in enumerate(samples) if i % 6], [(r.code, r.text) for r in docs], epochs=6)
+    docs = language.training_windows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 600).collect()
+    net = language.train([s for i, s in enumerate(samples) if i % 6], [(r.code, bytes(r.window)) for r in docs], epochs=6)
     held = [s for i, s in enumerate(samples) if i % 6 == 0]
     right = sum(language.segment_languages(net, [t])[0][0][2] == language.CODES.index(c) for c, t in held)
     assert right >= 0.95 * len(held)

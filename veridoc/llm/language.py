@@ -5,29 +5,34 @@ bytes, max pooling over the window, one softmax layer over the languages and "no
 in numpy on the driver, first on clean labelled sentences, then also on sentences of a bounded
 sample of labelled documents whose label the first network confirms. A filter over one-hot
 bytes is a sum of table rows; for inference rows of neighbouring bytes are added once into
-tables of byte pairs, so a window costs three look-ups per byte.
+tables of byte pairs, so a window costs three look-ups per byte. Fitted weights are saved and read again.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.labels import LANGUAGES, language_code
 from veridoc.functions.text import WORD, fold
-from veridoc.runtime import small
+from veridoc.runtime import shared_dir, small
 
 CODES = list(LANGUAGES)
 NONE = len(CODES)
 WINDOW = 128
 WIDTHS, FILTERS = (2, 4, 6), 16
-#: Bounds of the training sample: labelled documents taken, and training windows per class.
-TRAINING_DOCUMENTS, TRAINING_WINDOWS = 3000, 900
+#: Bounds of the training sample: labelled documents taken, their windows taken per label, and training windows per class.
+TRAINING_DOCUMENTS, LABEL_WINDOWS, TRAINING_WINDOWS = 3000, 4096, 900
+#: Hash buckets over which the windows of a label are drawn.
+_DRAW = 64
 #: Bound of the clean training set; more labelled sentences are an error.
 LABELLED_SENTENCES = 10_000
 EPOCHS, BATCH, RATE, SEED = 14, 128, 0.01, 5
@@ -101,6 +106,24 @@ class Network:
         self.bias = np.zeros(NONE + 1, np.float32)
         self._pairs: dict[int, list[np.ndarray]] | None = None
 
+    def dumps(self) -> bytes:
+        """The weights as bytes."""
+        out = io.BytesIO()
+        np.savez(out, dense=self.dense, bias=self.bias, **{f"table{w}": t for w, t in self.tables.items()})
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> "Network":
+        """A network from the bytes of ``dumps``."""
+        held = np.load(io.BytesIO(data), allow_pickle=False)
+        net = cls(np.random.default_rng(0))
+        net.tables = {w: held[f"table{w}"] for w in WIDTHS}
+        net.dense, net.bias = held["dense"], held["bias"]
+        return net
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_pairs": None}  # built anew where it is used
+
     def pairs(self) -> dict[int, list[np.ndarray]]:
         """Per filter width and even offset, the sum of two byte rows for every byte pair."""
         if self._pairs is None:
@@ -169,18 +192,21 @@ class Network:
             order = rng.permutation(len(items))
             for lo in range(0, len(order), BATCH):
                 at = order[lo : lo + BATCH]
-                b, n = data[at], len(at)
+                b, n = np.ascontiguousarray(data[at].T).astype(np.intp), len(at)  # position by position: contiguous rows to add and compare
                 top = int(lengths[at].max())
-                beyond = np.arange(top)[None, :] >= lengths[at][:, None]
+                beyond = np.where(np.arange(top)[:, None] >= lengths[at], np.float32(-np.inf), np.float32(0))[:, :, None]
                 pooled, places = [], []
                 for w, t in self.tables.items():
-                    h = t[0][b[:, :top]]
+                    h = t[0].take(b[:top], 0)
                     for j in range(1, w):
-                        h = h + t[j][b[:, j : top + j]]
-                    h[beyond] = -np.inf
-                    p = h.argmax(1)
-                    places.append(p)
-                    pooled.append(np.take_along_axis(h, p[:, None, :], 1)[:, 0])
+                        h += t[j].take(b[j : top + j], 0)
+                    h += beyond
+                    best = h.max(0)
+                    hit = np.flatnonzero(h == best)[::-1]
+                    place = np.empty(best.size, np.intp)
+                    place[hit % best.size] = hit // best.size  # of several the first: written last
+                    places.append(place.reshape(best.shape))
+                    pooled.append(best)
                 x = np.concatenate(pooled, 1)
                 keep = (rng.random(x.shape) > 0.15) / 0.85
                 z = np.maximum(x, 0) * keep
@@ -192,12 +218,12 @@ class Network:
                 back = (s @ self.dense.T) * keep * (x > 0)
                 grads = []
                 for k, w in enumerate(WIDTHS):
-                    g = np.zeros_like(self.tables[w])
                     part = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    for j in range(w):
-                        byte = np.take_along_axis(b, places[k] + j, 1)
-                        np.add.at(g[j], (byte, np.arange(FILTERS)[None, :]), part)
-                    grads.append(g)
+                    spot = places[k][None] + np.arange(w)[:, None, None]
+                    byte = b[spot, np.arange(n)[None, :, None]]
+                    cell = (np.arange(w)[:, None, None] * 256 + byte) * FILTERS + np.arange(FILTERS)
+                    g = np.bincount(cell.ravel(), weights=np.broadcast_to(part, cell.shape).ravel(), minlength=w * 256 * FILTERS)
+                    grads.append(g.reshape(w, 256, FILTERS).astype(np.float32))
                 grads += [z.T @ s, s.sum(0)]
                 step += 1
                 for i, (p, g) in enumerate(zip(params, grads)):
@@ -234,8 +260,8 @@ def _noise(rng: np.random.Generator, names: list[str], n: int) -> list[bytes]:
     return out
 
 
-def train(samples: list[tuple[str, str]], documents: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """A network from clean ``(language, sentence)`` samples and ``(language, text)`` documents whose labels may be wrong."""
+def train(samples: list[tuple[str, str]], documents: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """A network from clean ``(language, sentence)`` samples and ``(label, window)`` pieces of documents whose labels may be wrong."""
     rng = np.random.default_rng(seed)
     number = {c: i for i, c in enumerate(CODES)}
     clean = [(w, number[c]) for c, s in samples if c in number and s for w in windows(s)]
@@ -250,33 +276,71 @@ def train(samples: list[tuple[str, str]], documents: list[tuple[str, str]], epoc
 
     shifted = [(w[k:] if k < len(w) - 12 else w, y) for w, y in clean for k in (0, 5, 17, 31)]
     net = fitted(shifted, 3 * epochs) if clean else Network(rng)
-    for _ in range(2):  # label, keep what agrees with the document's label, train anew
-        pool: dict[int, list[bytes]] = {i: [] for i in range(NONE)}
-        texts = [(c, w) for c, t in documents if c in number for a, b in sentences(t) if is_sentence(t[a:b]) for w in windows(t[a:b])]
-        if not texts:
+    held = [w for c, w in documents if c in number]
+    label = np.array([number[c] for c, _ in documents if c in number], np.int64)
+    for rounds in (max(1, epochs // 2), epochs):  # label, keep what agrees with the document's label, train anew
+        if not held:
             break
-        guess = net.probabilities([w for _, w in texts])
-        for (code, w), p in zip(texts, guess):
-            y = number[code]
-            if p.argmax() == y and len(w) >= 24:
-                pool[y].append(w)
-        more = [(x[i], y) for y, x in pool.items() if x for i in rng.permutation(len(x))[:TRAINING_WINDOWS]]
-        net = fitted(clean * 2 + more, epochs)
+        agree = np.flatnonzero((net.probabilities(held).argmax(1) == label) & (np.fromiter(map(len, held), np.int64, len(held)) >= 24))
+        more = []
+        for y in range(NONE):
+            mine = agree[label[agree] == y]
+            more += [(held[i], y) for i in rng.permutation(mine)[:TRAINING_WINDOWS]]
+        net = fitted(clean * 2 + more, rounds)
     return net
 
 
-def training_rows(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """At most ``most`` labelled documents ``(code, text)``, those of the smallest hashes of their ids."""
+def training_windows(docs: DataFrame, most: int = TRAINING_DOCUMENTS, per_label: int = LABEL_WINDOWS) -> DataFrame:
+    """At most ``per_label`` windows ``(code, window)`` of full sentences for each label, of at most ``most`` labelled documents.
+
+    The documents are those of the smallest hashes of their ids, the windows those of the smallest hashes of their
+    bytes, drawn by hash bucket so that no task ranks all windows of a label.
+    """
     labelled = docs.select("doc_id", language_code("lang").alias("code")).where("code is not null")
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("code", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, out = [], []
+            for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                made = [w for a, b in sentences(text) if is_sentence(text[a:b]) for w in windows(text[a:b])]
+                codes += [code] * len(made)
+                out += made
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.string()), pa.array(out, pa.binary())], names=["code", "window"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("code", "text")
+    found = texts.mapInArrow(cut, "code string, window binary").withColumn("h", F.xxhash64("window")).withColumn("b", F.pmod("h", F.lit(_DRAW)))
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("code", "b").orderBy("h", "window")))
+    return ranked.where(F.col("r") <= per_label // _DRAW).select("code", "window")
+
+
+_FITTED: dict[str, Network] = {}
 
 
 def detector(docs: DataFrame, samples: DataFrame) -> Network:
-    """Train on the labelled sentences and on a bounded sample of labelled documents."""
+    """The network for the labelled sentences and a bounded sample of labelled documents.
+
+    It is fitted once: its weights are kept in the process and in the shared folder, under a hash of the
+    training rows, and read from there by any later query or job with the same rows.
+    """
+    spark = docs.sparkSession
     clean = [(r["lang"], r["text"]) for r in small(samples.select(language_code("lang").alias("lang"), "text").orderBy("lang", "text"), LABELLED_SENTENCES, "labelled sentences")]
-    taken = sorted((r["code"], r["text"]) for r in training_rows(docs).collect())
-    return train([x for x in clean if x[0]], taken)
+    clean = [x for x in clean if x[0]]
+    taken = sorted((r["code"], bytes(r["window"])) for r in training_windows(docs).collect())  # bounded by LABEL_WINDOWS per language
+    key = hashlib.sha256(repr((clean, taken, WINDOW, WIDTHS, FILTERS, TRAINING_WINDOWS, BATCH, RATE, train.__defaults__, BLOCK)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    if key not in _FITTED:
+        path = f"{shared_dir(spark)}/language-{key}"
+        try:
+            saved = spark.read.schema("weights binary").parquet(path).first()
+        except AnalysisException:  # nothing is saved yet
+            saved = None
+        if saved is not None:
+            net = Network.loads(bytes(saved["weights"]))
+        else:
+            net = train(clean, taken)
+            spark.createDataFrame([(bytearray(net.dumps()),)], "weights binary").coalesce(1).write.mode("ignore").parquet(path)
+        _FITTED[key] = net
+    return _FITTED[key]
 
 
 def segment_languages(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, int, float, bool, int]]]:
@@ -405,8 +469,9 @@ def detect(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
             for lo in range(0, len(texts), 256):
                 part = texts[lo : lo + 256]
                 found = segment_languages(model, part)
-                languages = _lists([decide(rows) for rows in found], ["lang", "confidence", "sentences"], [pa.string(), pa.float64(), pa.int32()])
-                parts = _lists([_joined(rows) if segments else [] for rows in found], ["start", "end", "lang", "confidence"], [pa.int32(), pa.int32(), pa.string(), pa.float64()])
+                decided = [decide(rows) for rows in found]
+                languages = _lists(decided, ["lang", "confidence", "sentences"], [pa.string(), pa.float64(), pa.int32()])
+                parts = _lists([_joined(rows, {x[0] for x in d}) if segments else [] for rows, d in zip(found, decided)], ["start", "end", "lang", "confidence"], [pa.int32(), pa.int32(), pa.string(), pa.float64()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(part)), pa.array([long_enough(t) for t in part]), languages, parts], names=["doc_id", "long_enough", "languages", "segments"]
                 )
@@ -420,11 +485,12 @@ def _lists(rows: list[list[tuple]], names: list[str], kinds: list[pa.DataType])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names))
 
 
-def _joined(rows: list[tuple[int, int, int, float, bool, int]]) -> list[tuple[int, int, str | None, float]]:
+def _joined(rows: list[tuple[int, int, int, float, bool, int]], held: set[str]) -> list[tuple[int, int, str | None, float]]:
+    """Neighbouring segments of one language as one; a piece below a full sentence counts for a language that the text holds."""
     out: list[tuple[int, int, str | None, float]] = []
     weight = 0
     for a, b, k, c, full, size in rows:
-        lang = CODES[k] if k != NONE and c >= SURE and full else None
+        lang = CODES[k] if k != NONE and c >= SURE and (full or CODES[k] in held) else None
         if out and out[-1][2] == lang:
             start, _, _, before = out[-1]
             out[-1] = (start, b, lang, (before * weight + c * size) / (weight + size))

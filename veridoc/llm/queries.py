@@ -30,15 +30,16 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(p3_leaks(spark, d))
 
 
+def _network(spark: SparkSession, d: str) -> language.Network:
+    return language.detector(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
 def _detected(spark: SparkSession, d: str, segments: bool = False) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return language.detect(docs, language.detector(docs, table(spark, d, "lang_samples")), segments=segments)
+    return language.detect(table(spark, d, "documents"), _network(spark, d), segments=segments)
 
 
 def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.document_tokens(
-        table(spark, d, "documents"), table(spark, d, "manifest"), table(spark, d, "source_registry"), language.main_language(_detected(spark, d))
-    )
+    return tokens.document_tokens(table(spark, d, "documents"), table(spark, d, "manifest"), table(spark, d, "source_registry"), _network(spark, d))
 
 
 def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:

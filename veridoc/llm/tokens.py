@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.functions.labels import domain_label, language_code, path_key
-from veridoc.llm import bpe
-from veridoc.runtime import clean
+from veridoc.llm import bpe, language
+from veridoc.runtime import clean, materialise
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
@@ -37,9 +37,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
-def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
-    """``keep`` columns and ``n_tokens BIGINT`` of each row's text; null and empty texts have 0."""
+def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY, net: language.Network | None = None) -> DataFrame:
+    """``keep`` columns and ``n_tokens BIGINT`` of each row's text; null and empty texts have 0.
+
+    With a language network the same pass over the texts also gives ``language`` and ``confidence`` of the
+    language with most text (null where a text has none).
+    """
     kinds = dict(docs.dtypes)
+    shared = docs.sparkSession.sparkContext.broadcast(net) if net is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(vocabulary)
@@ -47,26 +52,31 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             parts = [coder.counts(texts[lo:hi]) for lo, hi in bpe.chunks(texts)]
             counts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint"
+            columns, names = [*batch.columns[: len(keep)], pa.array(counts, pa.int64())], [*keep, "n_tokens"]
+            if shared is not None:
+                first = [(language.decide(rows) or [(None, None, 0)])[0] for lo in range(0, len(texts), 256) for rows in language.segment_languages(shared.value, texts[lo : lo + 256])]
+                columns += [pa.array([x[0] for x in first], pa.string()), pa.array([x[1] for x in first], pa.float64())]
+                names += ["language", "confidence"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint" + (", language string, confidence double" if net is not None else "")
     return docs.select(*keep, F.col(text_col)).mapInArrow(run, schema)
 
 
-def document_tokens(docs: DataFrame, manifest: DataFrame, registry: DataFrame, languages: DataFrame | None = None, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
+def document_tokens(docs: DataFrame, manifest: DataFrame, registry: DataFrame, net: language.Network | None = None, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
     """One row per document: exact token count and resolved labels.
 
     The count comes from the text alone; ``word_count`` is not read. ``source`` is compared
     without case and outer spaces and replaced by the manifest's source_id where it is missing;
     ``source_family`` is the registry's for that source, else the manifest's; ``domain`` falls
     back to the registry's; ``era_window`` is the manifest's; a document with several manifest rows
-    takes the one received last. ``language`` is the detected one of ``languages``
-    (doc_id, language) where given, else the label. What stays open is 'unknown' ('und' for language).
+    takes the one received last. ``language`` is the one that the network ``net`` finds in the pass that counts,
+    else the label. What stays open is 'unknown' ('und' for language).
     """
-    counted = count_tokens(docs, ["doc_id", "lang", "source", "content_path", "domain"], vocabulary=vocabulary)
+    counted = count_tokens(docs, ["doc_id", "lang", "source", "content_path", "domain"], vocabulary=vocabulary, net=net)
     counted = counted.select(
         "doc_id", "n_tokens", path_key("content_path").alias("path_key"), clean("source").alias("doc_source"),
-        domain_label("domain").alias("doc_domain"), language_code("lang").alias("label_language"),
+        domain_label("domain").alias("doc_domain"), language_code("lang").alias("label_language"), (F.col("language") if net is not None else F.lit(None).cast("string")).alias("language"),
     )
     latest = (
         manifest.where(F.col("content_path").isNotNull())
@@ -83,10 +93,6 @@ def document_tokens(docs: DataFrame, manifest: DataFrame, registry: DataFrame, l
     ).dropDuplicates(["source"])
     out = counted.join(latest, "path_key", "left").withColumn("source", F.coalesce("doc_source", "m_source"))
     out = out.join(known, "source", "left")
-    if languages is not None:
-        out = out.join(languages.select("doc_id", "language"), "doc_id", "left")
-    else:
-        out = out.withColumn("language", F.lit(None).cast("string"))
     return out.select(
         "doc_id", "n_tokens",
         F.coalesce("source", F.lit("unknown")).alias("source"),
@@ -103,10 +109,10 @@ DIMENSIONS = ["source", "source_family", "language", "domain", "era_window"]
 def token_budget(per_document: DataFrame, dimensions: list[str] = DIMENSIONS) -> DataFrame:
     """Totals over the cube of the dimensions; a null dimension stands for "all".
 
-    Documents are first summed into base cells (a partial aggregate, so a source with a third of
-    all rows is one row per task), and only those cells enter the cube.
+    The counts of the documents are stored once and summed from there: first into base cells (a partial
+    aggregate, so a source with a third of all rows is one row per task); only those cells enter the cube.
     """
-    cells = per_document.groupBy(*dimensions).agg(
+    cells = materialise(per_document, "counts").groupBy(*dimensions).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.count_if(F.col("n_tokens") == 0).alias("n_empty_docs")
     )
     return cells.cube(*dimensions).agg(
