@@ -5,17 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: a word is a run of letters and digits, with single hyphens or apostrophes inside.
 WORD = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
-#: The same pattern for the JVM and for SQL engines, over already folded text.
-WORD_JVM = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 
 
 def fold(text: str) -> str:
@@ -41,23 +39,67 @@ def alnum_table() -> np.ndarray:
     return _ALNUM
 
 
-def tokenize_exact(text: Column | str) -> Column:
-    """Words of each text by the exact normaliser, in Arrow batches; a null text has none."""
+#: Characters that a worker splits at once.
+_CHUNK_CHARS = 1 << 20
 
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(words)
 
-    return F.pandas_udf(split, "array<string>")(text)
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of bounded length together; a longer text stands alone."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > lo and size + n > _CHUNK_CHARS:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
-def tokenize_fast(text: Column | str) -> Column:
-    """Words by JVM expressions only: lower case with ß as ss instead of full folding.
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
-    It equals the exact normaliser wherever NFKC changes nothing and no other special folding
-    occurs; SQL engines can repeat it.
+
+def tokenize(text: Column | str) -> Column:
+    """The words of each text by the project's normaliser (NFKC, case folding), whole Arrow arrays at once; a null text has none."""
+
+    def split(texts: pa.Array) -> pa.Array:
+        values, parts = texts.to_pylist(), []
+        for lo, hi in chunks(values):
+            array, counts = word_array(values[lo:hi])
+            parts.append(_lists(counts, array.dictionary_decode().cast(pa.string())))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
+
+    return F.arrow_udf(split, "array<string>")(text)
+
+
+_HASHER: list[WordHasher] = []
+
+
+def run_hashes(text: Column | str, widths: list[int], short: bool = False) -> Column:
+    """The distinct 64-bit hashes of the runs of each width in a text, ``array<bigint>``; runs of different width never share a hash.
+
+    A text with fewer words than the only width is one run if ``short``. No words give no runs.
     """
-    c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.regexp_replace(F.lower(c), "ß", "ss"), F.lit(WORD_JVM), F.lit(0))
+
+    def make(texts: pa.Array) -> pa.Array:
+        if not _HASHER:
+            _HASHER.append(WordHasher())
+        hasher, values, parts = _HASHER[0], texts.to_pylist(), []
+        for lo, hi in chunks(values):
+            hashes, counts = hasher.words(values[lo:hi])
+            made = {w: hasher.runs(hashes, w) for w in widths}
+            out, at = [], 0
+            for n in counts.tolist():
+                found = [made[w][at : at + n - w + 1] for w in widths if n >= w]
+                if short and 0 < n < widths[0]:
+                    found = [hasher.runs(hashes[at : at + n], n)[:1]]
+                out.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
+                at += n
+            parts.append(_lists(np.array([len(x) for x in out], np.int64), pa.array(np.concatenate(out).view(np.int64))))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    return F.arrow_udf(make, "array<bigint>")(text)
 
 
 def normalized(tokens: Column | str) -> Column:

@@ -26,7 +26,7 @@ def wiki_revisions(spark: SparkSession, d: str) -> DataFrame:
 def wiki_added_spans(spark: SparkSession, d: str) -> DataFrame:
     """Added prose of each revision, its chronology, rollback and reintroduction."""
     r = payloads.wiki_revisions(_payload(spark, samples.WIKI), "body").withColumn("clean", markup.wikitext("raw_text"))
-    r = materialise(r.select("page_id", "revision_id", "parent_revision_id", "at", "raw_sha256", text.tokenize_exact("clean.text").alias("words")), "revisions")
+    r = materialise(r.select("page_id", "revision_id", "parent_revision_id", "at", "raw_sha256", text.tokenize("clean.text").alias("words")), "revisions")
     parent = r.select("page_id", F.col("revision_id").alias("parent_revision_id"), F.col("words").alias("old"))
     spans = r.join(parent, ["page_id", "parent_revision_id"]).withColumn("spans", markup.new_spans("old", "words")).select("page_id", "revision_id", "spans")
     order = history.chronology(r, "page_id", "revision_id", "parent_revision_id", "at")

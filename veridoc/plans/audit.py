@@ -16,7 +16,7 @@ MOST_BYTES, MOST_TOKENS = 8192, 600
 
 def bounded_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts above the ceilings."""
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", text.tokenize_fast("text").alias("t"))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", text.tokenize("text").alias("t"))
     return t.select("doc_id", audit.bounded_text("text", "t", MOST_BYTES, MOST_TOKENS).alias("breaks")).where("breaks is not null")
 
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from veridoc.functions import text
 from veridoc.functions.labels import path_key
 from veridoc.operators import integrity
-from veridoc.runtime import clean, materialise, table
+from veridoc.plans import folding
+from veridoc.runtime import clean, materialise, salted_join, small, table
 
 SHINGLE, SIMILARITY = 4, 0.55
 NGRAM, LEAST_JACCARD, LEAST_CONTAINMENT = 5, 0.12, 0.25
+#: Most phrases of a registry: each is one test in the plan.
+MAX_PATTERNS = 1000
 #: A small registry of literal phrases: (category, pattern id, words).
 PATTERNS = [
     ("workflow", "annual-report", ["an", "annual", "report"]),
@@ -26,9 +29,9 @@ PATTERNS = [
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with their words by the JVM normaliser; a null text has none."""
+    """Documents with their words by the normaliser; a null text has none."""
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", clean("source").alias("source"), "lang", "domain", F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", text.tokenize_fast("text"))
+    return docs.select("doc_id", clean("source").alias("source"), "lang", "domain", F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", text.tokenize("text"))
 
 
 def doc_words(spark: SparkSession, d: str) -> DataFrame:
@@ -36,12 +39,6 @@ def doc_words(spark: SparkSession, d: str) -> DataFrame:
     return tokens(spark, d).select("doc_id", F.size("tokens").cast("bigint").alias("n_words"), F.size(F.array_distinct("tokens")).cast("bigint").alias("n_distinct"))
 
 
-def doc_words_exact(spark: SparkSession, d: str) -> DataFrame:
-    """P1 by the exact normaliser (NFKC and full case folding), P2."""
-    docs = table(spark, d, "documents").select("doc_id", text.tokenize_exact("text").alias("t"))
-    return docs.select("doc_id", F.size("t").alias("n_words"), text.normalized_sha256("t").alias("normalized_sha256"))
-
-
 def normalized_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Content and normalised hashes."""
     return tokens(spark, d).select("doc_id", F.sha2("text", 256).alias("content_sha256"), text.normalized_sha256("tokens").alias("normalized_sha256"))
@@ -102,52 +99,68 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size(integrity.shingles("tokens", SHINGLE)).cast("bigint").alias("n_shingles"), F.size(integrity.shingles("tokens", 10, short=False)).cast("bigint").alias("n_tengrams"))
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    held = materialise(tokens(spark, d).where(F.size("tokens") > 0).withColumn("digest", text.normalized_sha256("tokens")), "tokens")
-    pairs = integrity.near_pairs(held.withColumn("runs", integrity.shingles("tokens", SHINGLE)), "doc_id", "runs", "digest", SIMILARITY)
-    return pairs, held
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    """The first document of every distinct normalised text that has words, with its run hashes."""
+    held = tokens(spark, d).where(F.size("tokens") > 0).select("doc_id", "source", "lang", text.normalized_sha256("tokens").alias("digest"), text.run_hashes("text", [SHINGLE], short=True).alias("set"))
+    held = materialise(held, "profiles")
+    first = held.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    return materialise(held.join(first.select("doc_id"), "doc_id", "left_semi"), "heads")
 
 
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """J1, J3, P9, P38."""
-    pairs, held = _pairs(spark, d)
-    flagged = integrity.pair_flags(pairs, held, "doc_id", {"cross_source": "source", "cross_lang": "lang"})
-    return flagged.select("left_id", "right_id", "shared_shingles", "left_shingles", "right_shingles", "jaccard", "cross_source", "cross_lang")
+    """Similar distinct texts, each by its first document; ``text_classes`` gives the copies of each."""
+    heads = _heads(spark, d)
+    pairs = integrity.near_pairs(heads.select(F.col("doc_id").alias("id"), "set"), SIMILARITY)
+    return integrity.pair_flags(pairs, heads, "doc_id", {"cross_source": "source", "cross_lang": "lang"}).select(
+        "left_id", "right_id", "shared_shingles", "left_shingles", "right_shingles", "jaccard", "cross_source", "cross_lang"
+    )
 
 
-def near_pair_sources(spark: SparkSession, d: str) -> DataFrame:
-    """A3."""
-    pairs, held = _pairs(spark, d)
-    return integrity.pair_counts(integrity.pair_flags(pairs, held, "doc_id", {"cross_source": "source"}), "source")
+def text_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: every document with words, the first document with the same words, and their number."""
+    held = materialise(tokens(spark, d).where(F.size("tokens") > 0).select("doc_id", text.normalized_sha256("tokens").alias("digest")), "digests")
+    classes = held.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+    return salted_join(held, materialise(classes, "classes"), ["digest"], "n_copies", 100_000).select("doc_id", "class_id", "n_copies")
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with their runs, written once: the run expression is costly where a plan repeats it."""
-    held = materialise(tokens(spark, d).select("doc_id", "tokens"), "tokens")
-    return materialise(held.select("doc_id", integrity.shingles("tokens", SHINGLE).alias("runs")), "runs")
+def near_pair_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A3: near pairs of distinct texts by their sources."""
+    heads = _heads(spark, d)
+    pairs = integrity.near_pairs(heads.select(F.col("doc_id").alias("id"), "set"), SIMILARITY)
+    return integrity.pair_counts(integrity.pair_flags(pairs, heads, "doc_id", {"cross_source": "source"}), "source")
 
 
 def simhash_values(spark: SparkSession, d: str) -> DataFrame:
     """P7, P8."""
-    t = _runs(spark, d)
+    t = materialise(tokens(spark, d).select("doc_id", integrity.shingles("tokens", SHINGLE).alias("runs")), "runs")
     return t.select("doc_id", integrity.simhash64("runs").alias("simhash")).withColumn("bands", integrity.simhash_bands("simhash"))
 
 
 def simhash_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """J2."""
-    return integrity.simhash_candidates(_runs(spark, d), "doc_id", "runs")
+    """Near pairs of distinct texts that share a SimHash band."""
+    pairs = integrity.near_pairs(_heads(spark, d).select(F.col("doc_id").alias("id"), "set"), SIMILARITY)
+    found = integrity.simhash_pairs(pairs, simhash_values(spark, d).withColumnRenamed("doc_id", "id"))
+    return found.select("left_id", "right_id", "jaccard", "bands")
 
 
 def evaluation_exposure(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts against documents."""
-    prompts = table(spark, d, "eval_items").select(F.explode("forms.prompt").alias("prompt")).where("prompt is not null").distinct().withColumn("tokens", text.tokenize_fast("prompt"))
-    out = integrity.exposure(tokens(spark, d), prompts, "doc_id", "prompt", "tokens", NGRAM, LEAST_JACCARD, LEAST_CONTAINMENT)
-    return out.withColumn("prompt", F.sha2("prompt", 256))
+    """Prompts and candidate texts against documents; the text by its hash."""
+    forms = table(spark, d, "eval_items").select(F.explode("forms").alias("f"))
+    texts = forms.select(F.col("f.prompt").alias("text")).unionByName(forms.select(F.explode("f.candidates.text").alias("text")))
+    texts = texts.where("text is not null").distinct().withColumn("item_sha256", F.sha2("text", 256))
+    return integrity.exposure(table(spark, d, "documents"), texts, "doc_id", "item_sha256", "text", NGRAM, LEAST_JACCARD, LEAST_CONTAINMENT)
+
+
+def pattern_registry(spark: SparkSession) -> DataFrame:
+    """The registry of literal phrases in its nested form."""
+    nested = [(c, [(p, "literal", " ".join(w)) for k, p, w in PATTERNS if k == c]) for c in dict.fromkeys(c for c, _, _ in PATTERNS)]
+    return spark.createDataFrame([(nested,)], "categories array<struct<id:string,patterns:array<struct<id:string,type:string,value:string>>>>")
 
 
 def pattern_exposure(spark: SparkSession, d: str) -> DataFrame:
-    """J5."""
-    out = integrity.pattern_exposure(tokens(spark, d), PATTERNS, "doc_id", "tokens")
+    """J5, S18."""
+    patterns = [(r["category"], r["pattern_id"], r["words"]) for r in small(integrity.registry_patterns(pattern_registry(spark)), MAX_PATTERNS, "pattern registry")]
+    out = integrity.pattern_exposure(tokens(spark, d), patterns, "doc_id", "tokens")
     return out.withColumns({"pattern_ids": F.array_join("pattern_ids", ","), "categories": F.array_join("categories", ",")})
 
 
@@ -173,15 +186,16 @@ def integrity_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-WORDS = r"""regexp_extract_all(replace(lower(coalesce(text,'')),'ß','ss'), '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*')"""
 SOURCE = r"nullif(lower(trim(source)),'')"
-_T = f"WITH t AS (SELECT doc_id, {SOURCE} AS source, lang, coalesce(text,'') AS text, {WORDS} AS w FROM documents)"
+_T = (
+    f"WITH {folding.tables()}, t_s AS (SELECT doc_id, {SOURCE} AS source, lang, text IS NULL AS no_text, coalesce(text,'') AS text FROM documents), {folding.folded('t_f', 't_s', 'doc_id', 'text')},"
+    f" t AS (SELECT doc_id, source, lang, no_text, text, {folding.WORDS.format('x')} AS w FROM t_s JOIN t_f ON k=doc_id)"
+)
 _NEAR = (
     _T
-    + r""", s AS (SELECT doc_id, source, lang, sha256(array_to_string(w,' ')) AS h,
- CASE WHEN len(w)>=4 THEN list_distinct(list_transform(range(1, len(w)-2), lambda i: array_to_string(w[i:i+3],' '))) WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END AS r FROM t),
- e AS (SELECT doc_id, h, len(r) AS n, unnest(r) AS x FROM s),
- c AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS k FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id AND a.h<>b.h GROUP BY 1,2),
+    + f""", s AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY array_to_string(w,' ') ORDER BY doc_id) AS copy, CASE WHEN len(w)>=4 THEN {folding.grams('w', 4)} ELSE [array_to_string(w,' ')] END AS r FROM t WHERE len(w)>0),
+ e AS (SELECT doc_id, len(r) AS n, unnest(r) AS x FROM s WHERE copy=1),
+ c AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS k FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id GROUP BY 1,2),
  p AS (SELECT l AS left_id, r AS right_id, k AS shared_shingles, ln AS left_shingles, rn AS right_shingles, round(k::DOUBLE/(ln+rn-k),12) AS jaccard FROM c WHERE k::DOUBLE/(ln+rn-k)>=0.55)
 """
 )
@@ -205,7 +219,7 @@ SQL = {
     "normalized_hashes": _T + " SELECT doc_id, sha256(text) AS content_sha256, sha256(array_to_string(w,' ')) AS normalized_sha256 FROM t",
     "ascii_word_counts": "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*')) AS n_ascii_words FROM documents WHERE text IS NOT NULL",
     "word_frequencies": _T + " SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(w) AS word FROM t) GROUP BY word",
-    "clusters_raw": _clusters_sql("raw", "sha256(text)", "doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)"),
+    "clusters_raw": _clusters_sql("raw", "sha256(text)", "NOT no_text"),
     "clusters_normalized": _clusters_sql("normalized", "sha256(array_to_string(w,' '))", "len(w)>0"),
     "cluster_members": _T + """, h AS (SELECT doc_id, sha256(array_to_string(w,' ')) AS h FROM t WHERE len(w)>0)
  SELECT 'normalized-'||substr(h,1,16) AS cluster_id, doc_id FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*)>1)""",
@@ -217,14 +231,16 @@ SQL = {
  FROM p JOIN t l ON l.doc_id=left_id JOIN t r ON r.doc_id=right_id""",
     "near_pair_sources": _NEAR + """ SELECT least(coalesce(l.source,'None'),coalesce(r.source,'None'))||'|'||greatest(coalesce(l.source,'None'),coalesce(r.source,'None')) AS pair, count(*) AS n
  FROM p JOIN t l ON l.doc_id=left_id JOIN t r ON r.doc_id=right_id GROUP BY 1""",
-    "evaluation_exposure": _T + r""", q0 AS (SELECT DISTINCT f.prompt AS prompt FROM (SELECT unnest(forms) AS f FROM eval_items)),
- q AS (SELECT prompt, regexp_extract_all(replace(lower(prompt),'ß','ss'), '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*') AS w FROM q0 WHERE prompt IS NOT NULL),
- dr AS (SELECT doc_id, w, CASE WHEN len(w)>=5 THEN list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END AS r FROM t),
- qr AS (SELECT prompt, w, CASE WHEN len(w)>=5 THEN list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END AS r FROM q),
- k AS (SELECT doc_id, prompt, count(*) AS n FROM (SELECT doc_id, unnest(r) AS x FROM dr) JOIN (SELECT prompt, unnest(r) AS x FROM qr) USING (x) GROUP BY 1,2),
- f AS (SELECT k.doc_id, k.prompt, contains(' '||array_to_string(dr.w,' ')||' ', ' '||array_to_string(qr.w,' ')||' ') AS exact_substring, n AS shared_ngrams, len(qr.r) AS evaluation_ngrams, len(dr.r) AS source_ngrams,
- round(n::DOUBLE/(len(qr.r)+len(dr.r)-n),12) AS jaccard, round(n::DOUBLE/len(qr.r),12) AS containment FROM k JOIN dr USING (doc_id) JOIN qr USING (prompt))
- SELECT * REPLACE (sha256(prompt) AS prompt) FROM f WHERE exact_substring OR jaccard>=0.12 OR containment>=0.25""",
+    "text_classes": _T + """, h AS (SELECT doc_id, array_to_string(w,' ') AS h FROM t WHERE len(w)>0)
+ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS n_copies FROM h""",
+    "evaluation_exposure": _T + f""", q0 AS (SELECT unnest(forms) AS f FROM eval_items), q1 AS (SELECT DISTINCT text, sha256(text) AS h FROM (SELECT f.prompt AS text FROM q0 UNION ALL SELECT unnest(f.candidates).text FROM q0) WHERE text IS NOT NULL),
+ {folding.folded('q_f', 'q1', 'h', 'text')}, q AS (SELECT k AS item_sha256, {folding.WORDS.format('x')} AS w FROM q_f),
+ dr AS (SELECT doc_id, w, CASE WHEN len(w)>=5 THEN {folding.grams('w', 5)} WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END AS r FROM t WHERE NOT no_text),
+ qr AS (SELECT item_sha256, w, CASE WHEN len(w)>=5 THEN {folding.grams('w', 5)} WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END AS r FROM q),
+ k AS (SELECT doc_id, item_sha256, count(*) AS n FROM (SELECT doc_id, unnest(r) AS x FROM dr) JOIN (SELECT item_sha256, unnest(r) AS x FROM qr) USING (x) GROUP BY 1,2),
+ f AS (SELECT k.doc_id, k.item_sha256, contains(' '||array_to_string(dr.w,' ')||' ', ' '||array_to_string(qr.w,' ')||' ') AS exact_substring, n AS shared_ngrams, len(qr.r) AS evaluation_ngrams, len(dr.r) AS source_ngrams,
+ round(n::DOUBLE/(len(qr.r)+len(dr.r)-n),12) AS jaccard, round(n::DOUBLE/len(qr.r),12) AS containment FROM k JOIN dr USING (doc_id) JOIN qr USING (item_sha256))
+ SELECT * FROM f WHERE exact_substring OR jaccard>=0.12 OR containment>=0.25""",
     "pattern_exposure": _T + f""", p AS (SELECT doc_id, ' '||array_to_string(w,' ')||' ' AS w FROM t),
  h AS (SELECT doc_id, list_filter([{_PATTERN}], lambda x: x IS NOT NULL) AS a, list_filter([{_CATEGORY}], lambda x: x IS NOT NULL) AS c FROM p)
  SELECT doc_id, array_to_string(list_sort(a),',') AS pattern_ids, array_to_string(list_sort(list_distinct(c)),',') AS categories, len(a) AS match_count FROM h WHERE len(a)>0""",
@@ -238,7 +254,7 @@ SQL = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        doc_words, doc_words_exact, normalized_hashes, ascii_word_counts, word_frequencies, clusters_raw, clusters_normalized, cluster_members, manifest_clusters, shingle_counts,
-        near_pairs, near_pair_sources, simhash_values, simhash_candidates, evaluation_exposure, pattern_exposure, resolved_manifest, integrity_summary,
+        doc_words, normalized_hashes, ascii_word_counts, word_frequencies, clusters_raw, clusters_normalized, cluster_members, manifest_clusters, shingle_counts,
+        near_pairs, text_classes, near_pair_sources, simhash_values, simhash_candidates, evaluation_exposure, pattern_exposure, resolved_manifest, integrity_summary,
     )
 }
