@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import WordHasher, mix
+from veridoc.functions.text import WordHasher, mix, run_hashes
 from veridoc.llm.copies import canonical_digests
+from veridoc.operators import integrity
 from veridoc.runtime import BROADCAST_BYTES, materialise, salted_join
 
 #: Bands and rows per band: a pair of similarity 0.55 is missed with probability below 0.003, one of 0.7 below 1e-7.
@@ -28,6 +29,10 @@ BANDS, ROWS = 64, 4
 RUN, SIMILARITY = 5, 0.8
 #: Rows of one class that go to one task when pairs of classes are written out as pairs of rows.
 ROWS_PER_SHARE = 20_000
+#: A band key of more texts than this builds no pairs; its texts are searched by their rarest runs instead.
+BAND_TEXTS = 64
+#: Pairs of one text that go to one task when they meet its runs.
+PAIRS_PER_SHARE = 20_000
 CHUNK_CHARS = 1 << 20
 
 _CELLS = [0.0, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0]  # rank limits of the first regions; the others are 8 wide
@@ -238,7 +243,6 @@ def class_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY,
     members but have no links; a row without words (null and empty texts too) is its own class. Similarity is the Jaccard coefficient of the distinct
     runs of ``run`` words, computed exactly for every candidate of the banded join.
     """
-    spark = docs.sparkSession
     held = materialise(fingerprints(docs, run, bands, rows), "fingerprints")
     wordless = held.where("word_class is null").select("doc_id", F.col("doc_id").alias("class_id"), "form_class", F.lit(1).cast("bigint").alias("n_copies"))
     held = held.where("word_class is not null")
@@ -247,54 +251,61 @@ def class_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY,
     members = salted_join(held.select("doc_id", "word_class", "form_class"), classes.drop("sketch"), ["word_class"], "n_copies", ROWS_PER_SHARE)
     members = materialise(members.select("doc_id", "class_id", "form_class", "n_copies").unionByName(wordless), "members")
 
-    # One shuffle by band key. The self-join reads the same exchange twice; the skew join splits
-    # the partition of a key that many different texts share.
-    prefix = F.conv(F.substring(F.hex("word_class"), 1, 15), 16, 10).cast("long")
-    banded = held.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), prefix.alias("text"))
-    banded = banded.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "text"])
-    left, right = banded.withColumnRenamed("text", "text_a"), banded.withColumnRenamed("text", "text_b")
-    pairs = left.join(right, "key").where("text_a < text_b").select("text_a", "text_b").distinct()
-    ids = classes.where("sketch is not null").select(prefix.alias("text"), "class_id", "sketch")
-    pairs = materialise(pairs, "candidates")
-    pairs = pairs.join(ids.withColumnsRenamed({"text": "text_a", "class_id": "a", "sketch": "x"}), "text_a")
-    pairs = pairs.join(ids.withColumnsRenamed({"text": "text_b", "class_id": "b", "sketch": "y"}), "text_b")
-    pairs = agreeing(pairs, similarity, bands * rows)
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    keyed = held.where(F.size("keys") > 0)
+    pairs = candidates(docs, keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), members.select(F.col("doc_id").alias("id"), "class_id"), run, similarity)
+    ids = classes.where("sketch is not null").select("class_id", "sketch")
+    pairs = pairs.join(ids.withColumnsRenamed({"class_id": "a", "sketch": "x"}), "a").join(ids.withColumnsRenamed({"class_id": "b", "sketch": "y"}), "b")
+    pairs = materialise(agreeing(pairs, similarity, bands * rows), "pairs")
     return verified(docs, pairs, run, similarity), members
 
 
+def _few(df: DataFrame, width: int = 32) -> DataFrame:
+    """``df`` marked for a broadcast if it is counted to be small enough."""
+    limit = BROADCAST_BYTES // width
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def candidates(docs: DataFrame, banded: DataFrame, class_of: DataFrame, run: int, similarity: float) -> DataFrame:
+    """``(a, b)``, a < b: classes that share a band key ``(key, id)``, or, for keys of very many texts, may be similar.
+
+    One aggregate counts each key with its smallest and greatest text (partial sums: a hot key is one
+    row a task). Nearly all keys hold one text and are done; a key of two is a pair; keys of a few texts are read once more
+    and joined with themselves. A key of more than BAND_TEXTS texts would build a square of pairs: its texts
+    go through the exact prefix search of the core, by their rarest runs, which misses no similar pair.
+    """
+    keys = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    keys = materialise(keys, "bands")
+    found = keys.where("n = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y")).distinct()
+    found = found.join(class_of.withColumnsRenamed({"id": "x", "class_id": "ca"}), "x").join(class_of.withColumnsRenamed({"id": "y", "class_id": "cb"}), "y").select("ca", "cb")
+    some = keys.where(f"n > 2 and n <= {BAND_TEXTS}").select("key")
+    met = banded.join(_few(some), "key").join(class_of, "id").select("key", "class_id").distinct()
+    met = materialise(met, "shared")
+    met = met.withColumnRenamed("class_id", "ca").join(met.withColumnRenamed("class_id", "cb"), "key").where("ca < cb").select("ca", "cb")
+    found = found.unionByName(met)
+    hot = keys.where(f"n > {BAND_TEXTS}").select("key")
+    if hot.limit(1).count():
+        texts = banded.join(_few(hot), "key", "left_semi").select("id").distinct().join(class_of, "id").select(F.col("class_id").alias("id")).distinct()
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_few(texts), "id", "left_semi")
+        sets = materialise(texts.select("id", run_hashes("text", [run]).alias("set")), "sets")
+        rest = integrity.prefix_candidates(sets, similarity).select(F.col("a").alias("ca"), F.col("b").alias("cb"))
+        found = found.unionByName(rest)
+    found = found.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    return materialise(found, "candidates")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, run: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(class_a, class_b, similarity)`` of the candidate pairs ``(a, b)`` of ids that reach the similarity.
 
-    Each text that occurs in a candidate is read again and its run set is sent once to each of
-    its pairs; the two sets of a pair meet in one small group.
+    Each text that occurs in a candidate is read again and its run set joined to the pairs of either
+    side; a text of very many pairs is joined in shares.
     """
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "a", "b"), F.struct(F.col("b").alias("id"), "a", "b"))).alias("s")).select("s.*")
-    needed = sides.select("id").distinct()
-    limit = BROADCAST_BYTES // 32
-    few = needed.limit(limit + 1).count() <= limit
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(needed) if few else needed, "id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hasher()
-        for batch in batches:
-            values = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _chunks(values):
-                hashes, counts = hasher.words(values[lo:hi])
-                runs = hasher.runs(hashes, run)
-                out, at = [], 0
-                for n in counts.tolist():
-                    out.append(np.unique(runs[at : max(at, at + n - run + 1)]).view(np.int64))
-                    at += n
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "runs"])
-
-    made = texts.mapInArrow(sets, "id bigint, runs array<bigint>")
-    met = made.join(sides, "id").groupBy("a", "b").agg(
-        F.max(F.when(F.col("id") == F.col("a"), F.col("runs"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("runs"))).alias("y")
-    )
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(_few(needed), "id", "left_semi")
+    made = materialise(texts.select("id", run_hashes("text", [run]).alias("runs")), "runs")
+    met = pairs
+    for side, name in (("a", "x"), ("b", "y")):
+        weights = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_k"))
+        met = salted_join(met, made.select(F.col("id").alias(side), F.col("runs").alias(name)).join(weights, side), [side], "_k", PAIRS_PER_SHARE).drop("_k")
     shared = F.size(F.array_intersect("x", "y"))
     scored = met.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
     return scored.where(F.col("similarity") >= similarity).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity")
@@ -308,15 +319,18 @@ def near_pairs(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY)
     """
     links, members = class_pairs(docs, run, similarity)
     links = materialise(links, "links")
-    m = members.select("doc_id", "class_id", "form_class")
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    used = links.select(F.col("class_a").alias("class_id")).union(links.select("class_b")).distinct().join(sizes, "class_id")
-    used = materialise(used, "used")
-    mine = salted_join(m, used, ["class_id"], "n", ROWS_PER_SHARE)
-    mine = materialise(mine.select("doc_id", "class_id", "form_class"), "mine")
-    a = mine.select(F.col("doc_id").alias("ida"), F.col("class_id").alias("class_a"), F.col("form_class").alias("fa"))
-    b = mine.select(F.col("doc_id").alias("idb"), F.col("class_id").alias("class_b"), F.col("form_class").alias("fb"))
-    out = links.join(a, "class_a").join(b, "class_b").where(F.col("fa") != F.col("fb"))
+    used = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+    mine = members.join(_few(used), "class_id", "left_semi").select("doc_id", "class_id", "form_class", "n_copies")
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_copies") / ROWS_PER_SHARE)).cast("int")
+    mine = materialise(mine.withColumn("block", block), "mine")
+    # Each link once for every block of rows of either class, so that no task holds more rows of a class than a block.
+    sizes = mine.select("class_id", F.ceil(F.col("n_copies") / ROWS_PER_SHARE).cast("int").alias("blocks")).distinct()
+    out = links.select("class_a", "class_b")
+    for side, row, form in (("class_a", "ida", "fa"), ("class_b", "idb", "fb")):
+        size = sizes.withColumnsRenamed({"class_id": side})
+        out = out.join(size, side).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        out = out.join(mine.select(F.col("class_id").alias(side), "block", F.col("doc_id").alias(row), F.col("form_class").alias(form)), [side, "block"]).drop("block")
+    out = out.where(F.col("fa") != F.col("fb"))
     return out.select(F.least("ida", "idb").alias("doc_id_a"), F.greatest("ida", "idb").alias("doc_id_b"))
 
 
