@@ -58,6 +58,10 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample(table(spark, d, "source_metadata"), table(spark, d, "sample_targets"))
 
 
+def p5_sample_summary(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.summary(p5_sample(spark, d), table(spark, d, "sample_targets"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_pairs(table(spark, d, "documents"), run=4, similarity=0.55)
 
@@ -95,7 +99,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report, p9_found, p9_languages, p9_segments)
+    f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p5_sample_summary, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report, p9_found, p9_languages, p9_segments)
 }
 
 _WORDS = r"regexp_extract_all(replace(lower(coalesce({0},'')),'ß','ss'), '[\p{{L}}\p{{N}}]+(?:[-''][\p{{L}}\p{{N}}]+)*')"

@@ -6,7 +6,8 @@ import json
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.runtime import clean, materialise, small
@@ -54,36 +55,31 @@ def _clean(value: str | None) -> str | None:
 def signed(recs: DataFrame, targets: list[Target]) -> DataFrame:
     """``recs`` once per draw with ``signature``: the numbers of the draw's targets it belongs to.
 
-    Targets become two maps keyed by (source, era) and looked up per stratum, so the work per
-    record follows its own categories and not the length of the target table.
+    The targets that give the same of source and era are grouped by those values and met by hash joins with a
+    broadcast table (bounded by MAX_TARGETS rows); strata are compared within the group.
     """
     spark = recs.sparkSession
     draws = sorted({t.draw for t in targets})
-    keys = [_key(shape) for shape in sorted({tuple(x is not None for x in t.fields) for t in targets})]
-    if not keys:
+    if not draws:
         return recs.limit(0).withColumns({"draw_id": F.lit(""), "signature": F.array().cast("array<int>")})
-    table: dict[str, list[dict]] = {}
-    for t in targets:
-        table.setdefault(json.dumps(t.fields, ensure_ascii=False), []).append({"draw_id": t.draw, "target_no": t.no})
-    kind = "map<string,array<struct<draw_id:string,target_no:int>>>"
-    lookup = F.from_json(F.lit(json.dumps(table)), kind)  # a constant, bounded by MAX_TARGETS
-    none = F.array().cast("array<struct<draw_id:string,target_no:int>>")
-    hit = recs.withColumn("hits", F.flatten(F.transform(F.flatten(F.array(*keys)), lambda k: F.coalesce(F.element_at(lookup, k), none))))
+    rows = [(*t.fields, t.draw, t.no) for t in targets]
+    table = spark.createDataFrame(rows, "source_id string, era_window string, stratum string, draw_id string, target_no int")
+    hit, found = recs, []
+    kind = "array<struct<stratum:string,draw_id:string,target_no:int>>"
+    for shape in sorted({(t.fields[0] is not None, t.fields[1] is not None) for t in targets}):
+        keys = [c for c, given in zip(("source_id", "era_window"), shape) if given]
+        if not keys:  # targets of any source and era: a constant
+            found.append(F.from_json(F.lit(json.dumps([{"stratum": t.fields[2], "draw_id": t.draw, "target_no": t.no} for t in targets if t.fields[:2] == (None, None)])), kind))
+            continue
+        mine = table.where(F.col("source_id").isNotNull() == F.lit(shape[0])).where(F.col("era_window").isNotNull() == F.lit(shape[1]))
+        name = f"_hits{len(found)}"
+        grouped = mine.groupBy(*keys).agg(F.collect_list(F.struct("stratum", "draw_id", "target_no")).alias(name))
+        hit = hit.join(F.broadcast(grouped), keys, "left")
+        found.append(F.coalesce(name, F.array().cast(kind)))
+    hit = hit.withColumn("hits", F.filter(F.concat(*found), lambda h: h["stratum"].isNull() | F.array_contains("strata", h["stratum"])))
     each = hit.withColumn("draw_id", F.explode(F.array(*[F.lit(x) for x in draws])))
     own = F.transform(F.filter("hits", lambda h: h["draw_id"] == F.col("draw_id")), lambda h: h["target_no"])
-    return each.withColumn("signature", F.array_sort(F.array_distinct(own))).drop("hits")
-
-
-def _key(shape: tuple[bool, bool, bool]) -> Column:
-    """Array of the lookup keys that a record has for targets with these fields given."""
-
-    def key(stratum: Column) -> Column:
-        quoted = [F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null")) if given else F.lit("null") for c, given in zip((F.col("source_id"), F.col("era_window"), stratum), shape)]
-        return F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]"))
-
-    if not shape[2]:
-        return F.array(key(F.lit(None).cast("string")))
-    return F.transform("strata", key)
+    return each.select(*recs.columns, "draw_id", F.array_sort(F.array_distinct(own)).alias("signature"))
 
 
 def repair(counts: dict[tuple[int, ...], int], targets: list[Target], seed: int) -> dict[tuple[int, ...], int]:
@@ -130,42 +126,60 @@ def repair(counts: dict[tuple[int, ...], int], targets: list[Target], seed: int)
         spread(by_target[t.no], min(need, size - total) if need > 0 else 0)
     spread(signatures, size - total)
 
-    want = {t.no: t.want for t in targets}
-    floor = {t.no: min(t.least, sum(counts[s] for s in by_target[t.no])) for t in targets}
+    return _exchange(signatures, counts, taken, targets, {t.no: min(t.least, sum(counts[s] for s in by_target[t.no])) for t in targets})
 
-    def gain(out: tuple[int, ...], into: tuple[int, ...], n: int) -> float | None:
-        change = 0.0
-        for no in set(out) ^ set(into):
-            step = n if no in into else -n
-            if step < 0 and have[no] + step < floor[no] and have[no] >= floor[no]:
-                return None
-            change += abs(have[no] - want[no]) - abs(have[no] + step - want[no])
-        return change
 
+def _exchange(signatures: list[tuple[int, ...]], counts: dict, taken: dict, targets: list[Target], floors: dict[int, int]) -> dict[tuple[int, ...], int]:
+    """Exchange counts between signatures, the best pair first, until no exchange lowers the deviation.
+
+    With d the surplus of a target, taking one record out of a signature gains the sum of |d| - |d - 1| over its targets, putting one
+    in that of |d| - |d + 1|; a target of both signatures does not move. Signatures are tried in the order
+    of what taking out gains, and left off when even the best counterpart cannot beat the pair held, so
+    a step looks at few of the pairs. The chosen pair moves as many records as keep that gain.
+    """
+    member = np.zeros((len(signatures), len(targets)), bool)
+    place = {t.no: i for i, t in enumerate(targets)}
+    for i, s in enumerate(signatures):
+        member[i, [place[no] for no in s]] = True
+    used = np.array([taken[s] for s in signatures], np.int64)
+    room = np.array([counts[s] for s in signatures], np.int64) - used
+    want = np.array([t.want for t in targets])
+    floor = np.array([floors[t.no] for t in targets])
+    weight = member.astype(float)
+    have = used @ weight
     while True:
-        best = (1e-9, None, None, 0)
-        for out in signatures:
-            if not taken[out]:
+        d = have - want
+        less, more = np.abs(d) - np.abs(d - 1), np.abs(d) - np.abs(d + 1)
+        both = less + more  # never above zero: what a target of both signatures does not cost
+        out_gain = np.where(used > 0, weight @ less, -np.inf)
+        in_gain = np.where(room > 0, weight @ more, -np.inf)
+        tight = (have - 1 < floor) & (have >= floor)
+        order = np.argsort(-out_gain, kind="stable")
+        kept = -(weight @ both)
+        spare = kept.max(initial=0.0)
+        best, pair = 1e-9, None
+        top = in_gain.max(initial=-np.inf)
+        for i in order.tolist():
+            if out_gain[i] + top + spare <= best:
+                break
+            if out_gain[i] + top + kept[i] <= best:
                 continue
-            for into in signatures:
-                room = min(taken[out], counts[into] - taken[into])
-                if into == out or room <= 0:
-                    continue
-                # The deviation is piecewise linear in the count: only its corners can be best.
-                corners = {1, room}
-                for no in set(out) ^ set(into):
-                    gap = want[no] - have[no] if no in into else have[no] - want[no]
-                    corners |= {c for c in (math.floor(gap), math.ceil(gap)) if 0 < c <= room}
-                    if no in out and have[no] - floor[no] > 0:
-                        corners.add(min(room, have[no] - floor[no]))
-                for n in corners:
-                    value = gain(out, into, n)
-                    if value is not None and value > best[0]:
-                        best = (value, out, into, n)
-        if best[1] is None:
-            return {s: n for s, n in taken.items() if n}
-        add(best[1], -best[3])
-        add(best[2], best[3])
+            value = out_gain[i] + in_gain - weight @ (both * member[i])
+            value[i] = -np.inf
+            fixed = tight & member[i]
+            if fixed.any():  # a floor that just holds: only a signature of the same target may come in
+                value[~member[:, fixed].all(1)] = -np.inf
+            j = int(value.argmax())
+            if value[j] > best:
+                best, pair = float(value[j]), (i, j)
+        if pair is None:
+            return {s: int(n) for s, n in zip(signatures, used.tolist()) if n}
+        i, j = pair
+        gone, came = member[i] & ~member[j], member[j] & ~member[i]
+        limits = [used[i], room[j], *np.floor(d[gone & (d >= 1)]), *np.floor(-d[came & (d <= -1)]), *(have - floor)[gone & (have > floor)]]
+        n = max(1, int(min(limits)))
+        used[i], used[j], room[i], room[j] = used[i] - n, used[j] + n, room[i] + n, room[j] - n
+        have = have - n * gone + n * came
 
 
 def plan(recs: DataFrame, target_rows: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame, list[Target], dict, dict]:
@@ -214,21 +228,41 @@ def sample(rows: DataFrame, target_rows: DataFrame, seed: int = 17) -> DataFrame
     return placed.where("bucket < cut").select(*out).unionByName(inner.where("r <= rest").select(*out))
 
 
+_REPORT = (
+    "draw_id string, target_no int, target_share double, min_rows bigint, available bigint, required bigint, sampled bigint, sampled_share double, deviation double, met boolean, reason string"
+)
+
+
 def report(rows: DataFrame, target_rows: DataFrame, seed: int = 17) -> DataFrame:
-    """One row for each target: what is available, required and sampled, and whether it can be and was met."""
+    """One row for each target: what is available and required, what the repaired sample holds, and why it falls short.
+
+    ``met`` says whether the sample reaches what is required and is at most one record off its share. Where it is
+    not, ``reason`` is 'too few records' if the records of the category do not suffice, else 'other targets':
+    only the floors, shares and size of the draw together stand against it. ``deviation`` is sampled less wanted.
+    """
     _, _, targets, counts, take = plan(records(rows), target_rows, seed)
     out = []
     for t in targets:
-        available = sum(n for s, n in counts.get(t.draw, {}).items() if t.no in s)
         sampled = sum(n for s, n in take.get(t.draw, {}).items() if t.no in s)
         size = sum(take.get(t.draw, {}).values())
-        out.append((t.draw, t.no, t.share, t.least, available, t.required, sampled, sampled / size if size else 0.0, available >= t.required, sampled >= t.least and abs(sampled - t.want) <= 1))
-    return rows.sparkSession.createDataFrame(
-        out,
-        "draw_id string, target_no int, target_share double, min_rows bigint, available bigint, required bigint, sampled bigint, sampled_share double, can_be_met boolean, met boolean",
-    )
+        met = sampled >= t.required and abs(sampled - t.want) <= max(1, t.required - t.want)
+        available = sum(n for s, n in counts.get(t.draw, {}).items() if t.no in s)
+        reason = None if met else "too few records" if available < t.required else "other targets"
+        out.append((t.draw, t.no, t.share, t.least, available, t.required, sampled, sampled / size if size else 0.0, sampled - t.want, met, reason))
+    return rows.sparkSession.createDataFrame(out, _REPORT)
 
 
 def unmet(rows: DataFrame, target_rows: DataFrame) -> DataFrame:
-    """``(draw_id, target_no)`` of the targets that the records cannot meet."""
-    return report(rows, target_rows).where(~F.col("can_be_met")).select("draw_id", "target_no")
+    """``(draw_id, target_no)`` of the targets that no sample can meet.
+
+    These are among the targets that the repaired sample leaves short; of those, the exact count of the category's records
+    tells the ones that fail for want of records from the ones that stand against other targets.
+    """
+    return report(rows, target_rows).where("not met and sampled < required and reason = 'too few records'").select("draw_id", "target_no")
+
+
+def summary(drawn: DataFrame, target_rows: DataFrame) -> DataFrame:
+    """``(draw_id, records, distinct_records)`` of each draw of a sample."""
+    names = target_rows.where(F.col("draw_id").isNotNull()).select("draw_id").distinct()
+    got = drawn.groupBy("draw_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("record_id").alias("distinct_records"))
+    return names.join(got, "draw_id", "left").select("draw_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("records", "distinct_records")])
