@@ -326,3 +326,24 @@ def test_sketches_keep_similar_pairs(spark):
         rows.append((i, i + 1000, bytearray(x), bytearray(y)))
     kept = {r.a for r in near.agreeing(spark.createDataFrame(rows, "a bigint, b bigint, x binary, y binary"), 0.55, 256).collect()}
     assert kept == set(range(40, 80))
+
+
+def test_scan_equals_the_automaton_step_by_step():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 5, 400):
+        symbol = rng.choice([bpe.QUOTE_2, bpe.QUOTE_3, bpe.NEAR_LETTER, bpe.LETTER, bpe.OTHER, bpe.LAST_BLANK, bpe.END], n, p=[0.2, 0.15, 0.4, 0.1, 0.05, 0.05, 0.05]).astype(np.uint8)
+        state, want = bpe.OUTSIDE, []
+        for s in symbol.tolist():
+            want.append(state)
+            state = int(bpe._STEP[s, state])
+        assert bpe.states_before(symbol).tolist() == want
+
+
+def test_offsets_decode_every_piece(coder):
+    texts = ["", "naïve 日本 don't", "", "a  b", "🙂🙂"]
+    ids, counts = coder.encode(texts)
+    starts, at = coder.offsets(ids, counts), 0
+    for text, n in zip(texts, counts.tolist()):
+        raw, mine = text.encode(), starts[at : at + n].tolist()
+        assert [raw[a:b] for a, b in zip(mine, [*mine[1:], len(raw)])] == [coder.bytes_of[i] for i in ids[at : at + n].tolist()]
+        at += n

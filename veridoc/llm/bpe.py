@@ -1,11 +1,11 @@
 """Byte-level BPE without a regular expression engine.
 
-Texts are laid end to end as one array of code points. Each code point is mapped to one of four
-classes (white space, letter, number, other) by a lookup table. The pre-tokeniser of the
-vocabulary is a finite automaton whose transition functions, composed over any stretch of text,
-depend only on the class of the neighbouring characters and on a look-back of one apostrophe
-contraction: the prefix composition collapses into shifted comparisons of whole arrays, which
-give all boundaries at once. The pieces tile the byte buffer, so they form an Arrow binary array
+Texts are laid end to end as one array of code points, mapped to symbols by a lookup table and what
+follows. The pre-tokeniser is a finite automaton; each symbol stands for a transition function over its
+states, and the state before every character is the composition of all functions before it. Composition is
+associative, so it is found by a scan: functions that lead to one state whatever came before need none, the others
+(apostrophes and the letters behind them) are composed with their predecessors by doubling. State and symbol say
+where a piece starts. The pieces tile the byte buffer, so they form an Arrow binary array
 without copying; it is dictionary-encoded and only distinct pieces are merged, in a cache that
 lives as long as the Python worker.
 """
@@ -23,6 +23,12 @@ import pyarrow as pa
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 SPACE, LETTER, NUMBER, OTHER, END = 0, 1, 2, 3, 4
+# Symbols: the classes; the last space before text, as a blank or not; an apostrophe before a contraction of two or
+# three characters; a letter within reach of such an apostrophe.
+LAST_BLANK, LAST_SPACE, QUOTE_2, QUOTE_3, NEAR_LETTER, SYMBOLS = 5, 6, 7, 8, 9, 10
+# States after a character: in a piece of letters, numbers, other characters or spaces; after a blank that belongs to
+# the next piece; with one or two letters of a contraction to come; after a contraction; between texts.
+IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, BLANK, ONE_TO_COME, TWO_TO_COME, CONTRACTED, OUTSIDE, STATES = 0, 1, 2, 3, 4, 5, 6, 7, 8, 9
 #: Pieces longer than this are merged one by one with a heap, shorter ones in whole arrays.
 _ARRAY_BYTES = 48
 #: Pieces kept in a worker's cache before it starts anew (it holds no results, only speed).
@@ -54,6 +60,53 @@ def _byte_letters() -> dict[str, int]:
     return letters
 
 
+def _automaton() -> tuple[np.ndarray, np.ndarray]:
+    """``(step, cut)``: the state after a symbol from each state, and whether a piece starts at it."""
+    step, cut = np.zeros((SYMBOLS, STATES), np.uint8), np.ones((SYMBOLS, STATES), bool)
+    for symbol, state in ((SPACE, IN_SPACES), (LETTER, IN_LETTERS), (NUMBER, IN_NUMBERS), (OTHER, IN_OTHER), (END, OUTSIDE), (LAST_BLANK, BLANK), (LAST_SPACE, IN_SPACES), (NEAR_LETTER, IN_LETTERS)):
+        step[symbol] = state
+    for symbol, own in ((LETTER, IN_LETTERS), (NUMBER, IN_NUMBERS), (OTHER, IN_OTHER), (NEAR_LETTER, IN_LETTERS)):
+        cut[symbol, [own, BLANK]] = False
+    cut[SPACE, IN_SPACES] = False
+    for symbol, state in ((QUOTE_2, ONE_TO_COME), (QUOTE_3, TWO_TO_COME)):  # inside other characters or after a blank it is one of them
+        step[symbol] = state
+        step[symbol, [IN_OTHER, BLANK]] = IN_OTHER
+        cut[symbol, [IN_OTHER, BLANK]] = False
+    step[NEAR_LETTER, [ONE_TO_COME, TWO_TO_COME]] = [CONTRACTED, ONE_TO_COME]
+    cut[NEAR_LETTER, [ONE_TO_COME, TWO_TO_COME]] = False
+    return step, cut
+
+
+_STEP, _CUT = _automaton()
+_CONSTANT = (_STEP == _STEP[:, :1]).all(1)
+
+
+def states_before(symbol: np.ndarray) -> np.ndarray:
+    """The automaton's state before each symbol, by an associative scan over transition functions."""
+    after = _STEP[:, OUTSIDE].take(symbol)
+    open_ = np.flatnonzero(~_CONSTANT[symbol])  # functions whose value depends on what came before
+    if len(open_):
+        function = _STEP[symbol[open_]]
+        before = open_ - 1  # the last position whose function is not yet composed in
+        slot = np.full(len(symbol) + 1, -1, np.int64)
+        slot[open_] = np.arange(len(open_))
+        left = np.arange(len(open_))
+        while len(left):
+            back = slot[before[left]]
+            closed = left[(back < 0) | (before[left] < 0)]
+            start = np.where(before[closed] < 0, OUTSIDE, after[before[closed]])
+            after[open_[closed]] = function[closed, start]
+            left = left[(back >= 0) & (before[left] >= 0)]
+            back = slot[before[left]]
+            # g after f: function composition, for all open positions at once.
+            composed = np.take_along_axis(function[left], function[back].astype(np.intp), 1)
+            jumped = before[back]
+            function[left], before[left] = composed, jumped
+    out = np.empty_like(after)
+    out[0], out[1:] = OUTSIDE, after[:-1]
+    return out
+
+
 class ByteBPE:
     """Encoder for one byte-level BPE vocabulary file (the JSON form with ``vocab`` and ``merges``)."""
 
@@ -64,8 +117,10 @@ class ByteBPE:
         self.byte_ids = np.zeros(256, np.int32)
         for letter, byte in letters.items():
             self.byte_ids[byte] = vocab[letter]
-        self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if all(c in letters for c in token)}
+        self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if all(c in letters for c in token)}
         size = max(vocab.values()) + 1
+        self.length_of = np.zeros(size, np.int64)  # bytes of each id
+        self.length_of[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         self.size = size
         left, right, merged = [], [], []
         for rule in model["merges"]:
@@ -86,33 +141,22 @@ class ByteBPE:
         """True where a piece starts. ``ends`` marks the sentinel that follows each text."""
         cls = self.classes[code]
         cls[ends] = END
-        prev = np.empty_like(cls)
-        prev[0], prev[1:] = END, cls[:-1]
         follow = np.empty_like(cls)
         follow[-1], follow[:-1] = END, cls[1:]
-        blank = code == 0x20
-        blank[ends] = False
-        after_blank = np.empty_like(blank)
-        after_blank[0], after_blank[1:] = False, blank[:-1]
-        space = cls == SPACE
-        start = np.where(
-            space,
-            (prev != SPACE) | ((follow != SPACE) & (follow != END)),
-            (cls != prev) & ~after_blank,
-        )
-        # A contraction: an apostrophe that opens a run of other characters, no blank before it.
-        quote = np.flatnonzero((code == 0x27) & (cls == OTHER) & (prev != OTHER) & ~after_blank & (follow == LETTER))
+        symbol = cls.copy()
+        last = (cls == SPACE) & (follow != SPACE) & (follow != END)
+        symbol[last] = np.where(code[last] == 0x20, LAST_BLANK, LAST_SPACE)
+        quote = np.flatnonzero((code == 0x27) & (follow == LETTER))
         if len(quote):
             padded = np.concatenate([code, np.zeros(3, code.dtype)])
             one, two = padded[quote + 1], padded[quote + 2]
             short = np.isin(one, np.frombuffer("stmd".encode("utf-32-le"), np.uint32))
             long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-            for at, width in ((quote[short], 2), (quote[long], 3)):
-                start[at + 1] = False
-                inside = at + width
-                start[inside[cls[inside] == LETTER]] = True
-        start[ends] = True
-        return start
+            for at, kind, width in ((quote[short], QUOTE_2, 1), (quote[long], QUOTE_3, 2)):
+                symbol[at] = kind
+                for k in range(1, width + 1):
+                    symbol[at + k] = NEAR_LETTER
+        return _CUT.ravel().take(symbol.astype(np.int32) * STATES + states_before(symbol))
 
     def pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """Distinct-encoded pieces of the texts (an Arrow dictionary array) and the pieces per text."""
@@ -254,6 +298,14 @@ class ByteBPE:
         ids = self.flat[shift + np.arange(int(total[-1]))]
         return ids, self._sum(count, per_text)
 
+    def offsets(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The byte at which each id starts in its text, for the ids and counts of ``encode``."""
+        ends = np.cumsum(self.length_of[ids])
+        starts = ends - self.length_of[ids]
+        first = np.cumsum(counts) - counts
+        base = np.where(counts > 0, np.append(starts, 0)[np.minimum(first, max(0, len(starts)))], 0)
+        return starts - np.repeat(base, counts)
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of ids of each text, without building the ids."""
         if not texts:
@@ -273,10 +325,6 @@ class ByteBPE:
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "surrogatepass")
 
-    def piece_offsets(self, ids: list[int]) -> list[int]:
-        """Byte offset at which each id starts in its text."""
-        return np.cumsum([0, *(len(self.bytes_of[i]) for i in ids)])[:-1].tolist()
-
 
 _LOADED: dict[str, ByteBPE] = {}
 

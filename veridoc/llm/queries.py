@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veridoc.llm import copies, language, leaks, near, packing, sampling, tokens
 from veridoc.runtime import table
@@ -74,6 +75,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every text decoded again: the hash of what comes out, and whether all offsets hold."""
+    encoded = tokens.encode_documents(table(spark, d, "documents"), offsets=True)
+    return tokens.decode_documents(encoded).select("doc_id", F.md5(F.col("text")).alias("text_md5"), "offsets_agree")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, d, "documents"), ["doc_id"]), table(spark, d, "pack_specs"))
 
@@ -99,7 +106,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p5_sample_summary, p6_found, p6_groups, p7_ids, p8_packed, p8_packing_report, p9_found, p9_languages, p9_segments)
+    f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_leaks, p3_report, p4_document_tokens, p4_token_budget, p5_found, p5_target_report, p5_sample, p5_sample_summary, p6_found, p6_groups, p7_ids, p7_round_trip, p8_packed, p8_packing_report, p9_found, p9_languages, p9_segments)
 }
 
 _WORDS = r"regexp_extract_all(replace(lower(coalesce({0},'')),'ß','ss'), '[\p{{L}}\p{{N}}]+(?:[-''][\p{{L}}\p{{N}}]+)*')"

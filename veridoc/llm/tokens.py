@@ -14,8 +14,9 @@ from veridoc.llm import bpe, language
 from veridoc.runtime import clean, materialise
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
-    """Ids of every text under a byte-level BPE vocabulary: ``(id_col, ids ARRAY<INT>)``.
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY, offsets: bool = False) -> DataFrame:
+    """Ids of every text under a byte-level BPE vocabulary: ``(id_col, ids ARRAY<INT>)``, with ``offsets`` also
+    ``starts ARRAY<BIGINT>``, the byte at which each id starts in its text.
 
     One narrow pass without a shuffle. Every row comes out once; a null and an empty text both
     have the empty list, a very long text is one row like any other, strings of special tokens in
@@ -29,12 +30,34 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in bpe.chunks(texts):
                 ids, counts = coder.encode(texts[lo:hi])
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[id_col, "ids"]
-                )
+                limits = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                columns, names = [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(limits, pa.array(ids))], [id_col, "ids"]
+                if offsets:
+                    columns.append(pa.ListArray.from_arrays(limits, pa.array(coder.offsets(ids, counts))))
+                    names.append("starts")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + (", starts array<bigint>" if offsets else ""))
+
+
+def decode_documents(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
+    """``(id_col, text, n_ids, offsets_agree)``: the text of each list of ids; ``offsets_agree`` says whether every id starts at
+    the byte that ``starts`` gives."""
+    kind = dict(encoded.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.load(vocabulary)
+        for batch in batches:
+            texts, counts, agree = [], [], []
+            for ids, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                parts = [coder.bytes_of[i] for i in ids]
+                at = np.cumsum([0, *map(len, parts)])[:-1]
+                texts.append(b"".join(parts).decode("utf-8", "surrogatepass"))
+                counts.append(len(ids))
+                agree.append(at.tolist() == starts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(agree, pa.bool_())], names=[id_col, "text", "n_ids", "offsets_agree"])
+
+    return encoded.select(id_col, "ids", "starts").mapInArrow(run, f"`{id_col}` {kind}, text string, n_ids bigint, offsets_agree boolean")
 
 
 def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY, net: language.Network | None = None) -> DataFrame:
