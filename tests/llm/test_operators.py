@@ -182,6 +182,19 @@ def test_packed_items_fit(spark):
         assert {r.doc_id for r in mine if r.container_id is None} == {0, 1}
 
 
+def test_large_slot_tables_are_joined(spark, monkeypatch):
+    """The join by ranges of ranks places items as the broadcast does."""
+    rng = random.Random(1)
+    sizes = spark.createDataFrame([(i, rng.choice([0, 3, 5, 7, 12, 25, None])) for i in range(400)], "doc_id bigint, n_tokens bigint")
+    specs = spark.createDataFrame([("a", 10), ("b", 8)], "pack_id string, capacity_tokens bigint")
+    want = sorted(map(tuple, packing.pack(sizes, specs).collect()), key=str)
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(packing, "SLOT_RANKS", 7)
+    assert sorted(map(tuple, packing.pack(sizes, specs).collect()), key=str) == want
+    c = packing.coverage(packing.pack(sizes, specs), sizes, specs).collect()
+    assert sorted(map(tuple, c)) == [("a", 400, 400, 0, 0), ("b", 400, 400, 0, 0)]
+
+
 def test_swap_repair_meets_floors():
     class T(sampling.Target):
         def __init__(self, no, share, least, size):
