@@ -53,10 +53,10 @@ def test_lineage_over_midnight(spark, tmp_path):
         last[u] = i
     pairs, order, evidence, back = _brute(rows)
     run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
-    assert sorted(run("whole_ancestor_pairs")) == sorted(pairs) and len(pairs) == 3 * 190
-    assert sorted(run("whole_revision_chronology")) == sorted(order)
-    assert sorted(run("whole_earlier_evidence")) == sorted(evidence)
-    assert sorted(run("whole_rollback_signals")) == sorted(back) and back
+    assert sorted(run("ancestor_pairs")) == sorted(pairs) and len(pairs) == 3 * 190
+    assert sorted(run("revision_chronology")) == sorted(order)
+    assert sorted(run("earlier_evidence")) == sorted(evidence)
+    assert sorted(run("rollback_signals")) == sorted(back) and back
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -18,12 +18,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Vocabularies of the cleaners.
-SCHEMES = ("ftp", "http", "https", "mailto")
-DROPPED_BLOCKS = ("code", "gallery", "math", "pre", "ref", "syntaxhighlight", "source")
-DROPPED_LINKS = {"category", "file", "image", "media", "template"}
-MAGIC_LINES = {"__toc__", "__notoc__", "__forcetoc__", "__noeditsection__"}
-BOILERPLATE = {"thanks in advance", "thanks in advance.", "thank you", "thank you."}
-SIGNATURES = {"--", "-- "}
+SCHEMES = (
+    "bitcoin", "ftp", "ftps", "geo", "git", "gopher", "http", "https", "irc", "ircs", "magnet", "mailto", "mms", "news", "nntp", "redis", "sip", "sips", "sms", "ssh", "svn",
+    "tel", "telnet", "worldwind", "xmpp",
+)
+DROPPED_BLOCKS = (
+    "blockquote", "code", "dl", "gallery", "math", "nowiki", "ol", "pre", "ref", "references", "source", "syntaxhighlight", "table", "ul", "caption", "tbody", "tfoot", "thead",
+    "tr", "dd", "dt", "li", "td", "th",
+)
+DROPPED_LINKS = {"category", "file", "image"}
+MAGIC_LINES = {"__forcetoc__", "__newsectionlink__", "__noeditsection__", "__nonewsectionlink__", "__notoc__", "__toc__"}
+BOILERPLATE = {"any help appreciated", "thank you", "thanks", "thanks!"}
+SIGNATURES = {"--"}
+HIDDEN_TAGS = {"blockquote", "code", "pre", "script", "style"}
 _LOCATOR = r"(?:(?i:" + "|".join(SCHEMES) + r"):|//)\S"
 
 
@@ -155,7 +162,7 @@ def clean_wikitext(text: str) -> tuple[str, dict[str, int]]:
 class _Visible(HTMLParser):
     """Text that a reader would see: no code, quotes, scripts or styles; entities decoded once."""
 
-    HIDDEN = {"blockquote", "code", "pre", "script", "style", "kbd", "samp"}
+    HIDDEN = HIDDEN_TAGS
     BREAKS = {"p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "table", "tr"}
 
     def __init__(self) -> None:

@@ -89,3 +89,15 @@ def archive_identifier(url: Column | str) -> Column:
     pattern = r"^https?://arxiv\.org/abs/([a-z.-]+/\d{7}|\d{4}\.\d{4,5})(?:v([1-9]\d*))?$"
     c = F.col(url) if isinstance(url, str) else url
     return F.when(c.rlike(pattern), F.struct(F.regexp_extract(c, pattern, 1).alias("id"), F.regexp_extract(c, pattern, 2).try_cast("int").alias("version")))
+
+
+def article_identifier(identifiers: Column | str) -> Column:
+    """The one PMC identifier that a record's identifiers name, bare or as an address; null if they name none or several."""
+    found = F.array_distinct(F.array_compact(F.transform(identifiers, lambda x: F.nullif(F.upper(F.regexp_extract(x, r"(?i)(?:^|/)(PMC[1-9]\d*)/?$", 1)), F.lit("")))))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+def header_identity(identifier: Column | str, authority: str) -> Column:
+    """The local part of a harvesting identifier ``oai:authority:local``; null for another authority or form."""
+    c = F.col(identifier) if isinstance(identifier, str) else identifier
+    return F.nullif(F.regexp_extract(c, "^oai:\\Q" + authority + "\\E:(\\S+)$", 1), F.lit(""))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from veridoc.runtime import materialise
 
-#: Fields that a redacted packet must not hold.
-PRIVATE = ["record_id", "native_item_id", "metadata_locator", "content_locator", "native_timestamp", "era_window"]
-SENSITIVE = r"https?://|\bPMC\d+\b|\b\d{4}\.\d{4,5}(v\d+)?\b|\b\d{4}-\d{2}-\d{2}\b"
+# Fields that a redacted packet must not hold, and what its values must not show (in any letter case).
+PRIVATE = ["metadata_locator", "content_locator", "native_timestamp", "native_item_id", "record_id", "era_window"]
+SENSITIVE = r"(?i)(?:https?://|ftp://|s3://|oai:|\bPMC\d+\b|\b\d{4}\.\d{4,5}(?:v\d+)?\b|\b(?:19|20)\d{2}-\d{2}-\d{2}(?:T|\b))"
 
 
 def sample_rank(seed: str, stratum: Column, record_id: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import markup, text
 from veridoc.operators import audit, contracts, rules
+from veridoc.plans import folding
 from veridoc.runtime import clean, table
 
 MOST_BYTES, MOST_TOKENS = 8192, 600
@@ -21,8 +22,9 @@ def bounded_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paragraph_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs of each text."""
-    return table(spark, d, "documents").select("doc_id", markup.paragraph_text("text").alias("p")).select("doc_id", F.size(F.split("p", "\n\n")).alias("paragraphs"))
+    """Paragraphs of each text, their number and the hash of all of them."""
+    p = table(spark, d, "documents").where("text is not null").select("doc_id", markup.paragraph_text("text").alias("p"))
+    return p.select("doc_id", F.size(F.split("p", "\n\n")).cast("bigint").alias("paragraphs"), F.md5("p").alias("md5"))
 
 
 def numeric_identifiers(spark: SparkSession, d: str) -> DataFrame:
@@ -81,11 +83,13 @@ def same_family_waits(spark: SparkSession, d: str) -> DataFrame:
     return contracts.same_family_waits(table(spark, d, "events"), "user_id", "event_id", "event_type").select("user_id", "event_id")
 
 
-_W = r"regexp_extract_all(replace(lower(text),'ß','ss'), '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*')"
 _S = "nullif(regexp_replace(lower(source), '^[\\s ]+|[\\s ]+$', '', 'g'),'')"
 
 SQL = {
-    "bounded_texts": f"SELECT doc_id, breaks FROM (SELECT doc_id, CASE WHEN octet_length(encode(text))>{MOST_BYTES} THEN 'bytes' WHEN len({_W})>{MOST_TOKENS} THEN 'tokens' END AS breaks FROM documents) WHERE breaks IS NOT NULL",
+    "bounded_texts": f"WITH {folding.tables()}, s AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {folding.folded('f', 's', 'doc_id', 'text')} SELECT doc_id, breaks FROM (SELECT doc_id, CASE WHEN octet_length(encode(text))>{MOST_BYTES} THEN 'bytes' WHEN len({folding.WORDS.format('x')})>{MOST_TOKENS} THEN 'tokens' END AS breaks FROM s JOIN f ON k=doc_id) WHERE breaks IS NOT NULL",
+    "paragraph_texts": r"""WITH t AS (SELECT doc_id, replace(replace(nfc_normalize(text), chr(13)||chr(10), chr(10)), chr(13), chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+ p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(x, '\n[\t\x0b\x0c\x1c-\x1f\x{85}\p{Z}]*\n'), lambda y: regexp_replace(regexp_replace(y, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')), lambda y: y<>'') AS l FROM t)
+ SELECT doc_id, greatest(1, len(l))::BIGINT AS paragraphs, md5(array_to_string(l, chr(10)||chr(10))) AS md5 FROM p""",
     "numeric_identifiers": "SELECT c_mktsegment, c_custkey::VARCHAR AS k, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS place FROM customer",
     "registry_violations": """SELECT source_id, 'family' AS rule FROM source_registry WHERE source_family IS NULL OR source_family NOT IN ('A','B','C','CONTROL','CAL') UNION ALL SELECT source_id, 'title' FROM source_registry WHERE title IS NULL OR trim(title)=''
  UNION ALL SELECT source_id, 'date-order' FROM source_registry WHERE date_order IS NULL OR date_order NOT IN ('dmy','mdy','ymd') UNION ALL SELECT source_id, 'zone' FROM source_registry WHERE native_zone IS NULL

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.operators import history
-from veridoc.runtime import materialise, table
+from veridoc.runtime import table
 
 
 def _revisions(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +18,9 @@ def _revisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_time_steps_back(spark: SparkSession, d: str) -> DataFrame:
-    """W1, W2."""
-    return history.monotone_violations(table(spark, d, "events"), ["user_id"], ["event_id"], "ts", strict=False).select("user_id", "event_id")
+    """Events in the order of their ids whose time, set back by a day for every 40th, falls below the one before."""
+    e = table(spark, d, "events").withColumn("ts", F.when(F.col("event_id") % 40 == 0, F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts")))
+    return history.monotone_violations(e, ["user_id"], ["event_id"], "ts", strict=False).select("user_id", "event_id")
 
 
 def event_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
@@ -44,43 +45,14 @@ def foreign_parents(spark: SparkSession, d: str) -> DataFrame:
     return history.parent_violations(r, "user_id", "event_id", "parent_id")
 
 
-def _short(spark: SparkSession, d: str) -> DataFrame:
-    """Chains restarted at every change of day, as the SQL has them; ``_whole`` cuts none."""
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id")
-    r = table(spark, d, "events").select("user_id", "event_id", "ts", F.lag("event_id").over(w).alias("parent_id"), F.md5(F.concat_ws("|", "event_type", (F.col("value") / 50).cast("int").cast("string"))).alias("digest"))
-    return materialise(r, "revisions")
-
-
-def ancestor_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """J13."""
-    return history.ancestors(_short(spark, d), "user_id", "event_id", "parent_id")
-
-
-def revision_chronology(spark: SparkSession, d: str) -> DataFrame:
-    """W4."""
-    return history.chronology(_short(spark, d), "user_id", "event_id", "parent_id", "ts")
-
-
-def earlier_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """The number of evidence revisions of each revision."""
-    e = history.earlier_evidence(_short(spark, d), "user_id", "event_id", "parent_id", "ts")
-    return e.groupBy("user_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-def rollback_signals(spark: SparkSession, d: str) -> DataFrame:
-    """J15."""
-    r = _short(spark, d)
-    return history.rollbacks(r, history.earlier_evidence(r, "user_id", "event_id", "parent_id", "ts"), "user_id", "event_id", "digest")
-
-
 def _whole(spark: SparkSession, d: str) -> DataFrame:
-    """The revisions of ``_short`` with the parent taken over the whole history of a user."""
+    """Events as revisions whose parent is the event of the same user before, over the whole history."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     return table(spark, d, "events").select("user_id", "event_id", "ts", F.lag("event_id").over(w).alias("parent_id"), F.md5(F.concat_ws("|", "event_type", (F.col("value") / 50).cast("int").cast("string"))).alias("digest"))
 
 
-def whole_ancestor_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """J13 over whole histories."""
+def ancestor_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """J13."""
     return history.ancestors(_whole(spark, d), "user_id", "event_id", "parent_id")
 
 
@@ -88,18 +60,18 @@ def _lineage(spark: SparkSession, d: str) -> DataFrame:
     return history.lineage(_whole(spark, d), "user_id", "event_id", "parent_id", "ts", "digest")
 
 
-def whole_revision_chronology(spark: SparkSession, d: str) -> DataFrame:
-    """W4 over whole histories."""
+def revision_chronology(spark: SparkSession, d: str) -> DataFrame:
+    """W4."""
     return _lineage(spark, d).where("chronology is not null").select("user_id", "event_id", "chronology")
 
 
-def whole_earlier_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """J14 over whole histories: the number of evidence revisions of each revision."""
+def earlier_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The number of evidence revisions of each revision."""
     return _lineage(spark, d).where("n_evidence > 0").select("user_id", "event_id", F.col("n_evidence").alias("n"))
 
 
-def whole_rollback_signals(spark: SparkSession, d: str) -> DataFrame:
-    """J15 over whole histories."""
+def rollback_signals(spark: SparkSession, d: str) -> DataFrame:
+    """J15."""
     return _lineage(spark, d).where("rollback").select("user_id", "event_id")
 
 
@@ -127,8 +99,8 @@ def ordered_actions(spark: SparkSession, d: str) -> DataFrame:
     return history.ordered_actions(table(spark, d, "events"), "user_id", "ts", "event_type", "event_id")
 
 
-_SHORT = "r AS (SELECT user_id, event_id, ts, lag(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS parent_id, md5(event_type||'|'||CAST(trunc(value/50) AS INT)::VARCHAR) AS digest FROM events)"
-_ANC = "WITH RECURSIVE " + _SHORT + ", a AS (SELECT user_id, event_id, parent_id AS ancestor, 1 AS distance FROM r WHERE parent_id IS NOT NULL UNION ALL SELECT a.user_id, a.event_id, r.parent_id, a.distance+1 FROM a JOIN r ON r.user_id=a.user_id AND r.event_id=a.ancestor WHERE r.parent_id IS NOT NULL)"
+_WHOLE = "r AS (SELECT user_id, event_id, ts, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS parent_id, md5(event_type||'|'||CAST(trunc(value/50) AS INT)::VARCHAR) AS digest FROM events)"
+_ANC = "WITH RECURSIVE " + _WHOLE + ", a AS (SELECT user_id, event_id, parent_id AS ancestor, 1 AS distance FROM r WHERE parent_id IS NOT NULL UNION ALL SELECT a.user_id, a.event_id, r.parent_id, a.distance+1 FROM a JOIN r ON r.user_id=a.user_id AND r.event_id=a.ancestor WHERE r.parent_id IS NOT NULL)"
 _EVID = _ANC + """, e AS (SELECT user_id, event_id, ancestor AS evidence FROM a WHERE distance>1 UNION SELECT c.user_id, c.event_id, o.event_id FROM r c JOIN r o ON o.user_id=c.user_id AND o.ts<c.ts AND o.event_id<>c.event_id AND o.event_id<>c.parent_id
  WHERE c.parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE a.user_id=c.user_id AND a.event_id=o.event_id AND a.ancestor=c.event_id))"""
 _KINDS = list(history.TRANSITIONS)
@@ -136,7 +108,7 @@ _REQ = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{b or ''}'" for k, (b, _) in h
 _AFT = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{a}'" for k, (_, a) in history.TRANSITIONS.items()) + " END"
 
 SQL = {
-    "event_time_steps_back": "SELECT user_id, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE ts<b",
+    "event_time_steps_back": "WITH e AS (SELECT user_id, event_id, ts - CASE WHEN event_id%40=0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS ts FROM events) SELECT user_id, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM e) WHERE ts<b",
     "event_chain_breaks": """WITH e AS (SELECT user_id, event_id, md5(event_id::VARCHAR) AS own, row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1 AS n, lag(md5(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
  f AS (SELECT user_id, own, CASE WHEN event_id%700=0 THEN n+100000 ELSE n END AS sequence, CASE WHEN event_id%500=0 THEN md5('x') ELSE p END AS previous FROM e),
  g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sequence)-1 AS n, lag(own) OVER (PARTITION BY user_id ORDER BY sequence) AS p FROM f)
@@ -161,6 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         event_time_steps_back, event_chain_breaks, run_state_breaks, foreign_parents, ancestor_pairs, revision_chronology, earlier_evidence, rollback_signals, latest_event_before_order,
-        same_time_ambiguity, reused_identities, ordered_actions, whole_ancestor_pairs, whole_revision_chronology, whole_earlier_evidence, whole_rollback_signals,
+        same_time_ambiguity, reused_identities, ordered_actions,
     )
 }

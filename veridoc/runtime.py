@@ -24,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent (a local
-    test session) a folder of this process is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent in a local
+    session a folder of this process is used; on a cluster its absence is an error, because
+    executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN_DIRS:
         _OWN_DIRS[key] = "file://" + tempfile.mkdtemp(prefix="veridoc-")
@@ -75,6 +78,19 @@ def small(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
+def _row_bytes(df: DataFrame, columns: list[str]) -> Column:
+    """About the bytes that the given columns of a row take in a broadcast table."""
+    size = F.lit(96)
+    for name, kind in df.select(*columns).dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array") and "string" not in kind:
+            size = size + 8 * F.coalesce(F.size(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
+    return size
+
+
 def salted_join(
     many: DataFrame, few: DataFrame, keys: list[str], weight: str, per_salt: int, how: str = "inner"
 ) -> DataFrame:
@@ -88,13 +104,12 @@ def salted_join(
     hot = few.where(F.col(weight) > per_salt).select(
         *keys, F.ceil(F.col(weight) / F.lit(per_salt)).cast("int").alias("_shares")
     )
-    limit = BROADCAST_BYTES // 128
-    n_hot = hot.limit(limit + 1).count()
+    n_hot, size = hot.agg(F.count(F.lit(1)), F.sum(_row_bytes(few, keys))).first()
     if not n_hot:
         return many.join(few, keys, how)
     share = F.greatest(F.lit(0), F.ceil(F.col(weight) / F.lit(per_salt)).cast("int") - 1)
     spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), share)))
-    marked = many.join(F.broadcast(hot) if n_hot <= limit else hot, keys, "left")
+    marked = many.join(F.broadcast(hot) if size <= BROADCAST_BYTES else hot, keys, "left")
     others = [c for c in many.columns if c not in keys]
     marked = marked.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_shares")).cast("int"), F.lit(0))).drop("_shares")
     return marked.join(spread, [*keys, "_salt"], how).drop("_salt")
