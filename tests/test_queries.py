@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import pytest
 from oracle import compare, views
 from pyspark.sql import functions as F
 
-from veridoc.functions import markup
-from veridoc.operators import calibration, history, review, scoring
+from veridoc import runtime
+from veridoc.functions import markup, rights
+from veridoc.operators import audit, calibration, history, review, scoring
 from veridoc.plans import adapters, registry
 from veridoc.sources import files
 from veridoc.streaming import runs
@@ -136,6 +143,61 @@ def test_cleaner_columns_keep_errors(spark):
     assert [(r.c.text, r.c.error is not None) if r.c else None for r in got][1:] == [(None, True), ("ok x", False)]
 
 
+def test_snapshot_verification(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for n, b in (("a", b"one"), ("b", b"two"), ("c", b"three"), ("d", b"four")):
+        (tmp_path / "s" / n).write_bytes(b)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    rows = [("a", 3, sha(b"one").upper()), ("b", 4, sha(b"two")), ("c", 5, sha(b"3")), ("e", 1, sha(b"x"))]
+    expected = spark.createDataFrame(rows, "name string, size_bytes bigint, sha256 string")
+    got = {r.name: r.status for r in files.verified_snapshot(spark, f"file://{tmp_path}/s", expected).collect()}
+    assert got == {"a": "ok", "b": "size differs", "c": "hash differs", "d": "unexpected", "e": "missing"}
+
+
+def test_page_starts_are_disjoint_and_keyed():
+    key = bytes(range(32))
+    starts = audit.page_starts(1000, "2012-h1", key, "pages")
+    assert len(set(starts)) == 5 and all(s % 5 == 0 and s + 4 < 1000 for s in starts)
+    assert starts == audit.page_starts(1000, "2012-h1", key, "pages") != audit.page_starts(1000, "2012-h2", key, "pages")
+    assert sorted(audit.page_starts(25, "2012-h1", key, "pages")) == [0, 5, 10, 15, 20]
+    with pytest.raises(ValueError):
+        audit.page_starts(24, "2012-h1", key, "pages")
+
+
+def test_identities(spark):
+    rows = [(["PMC12", "https://x.org/pmc12/"],), (["PMC12", "PMC13"],), (["doi:1"],), (None,)]
+    got = spark.createDataFrame(rows, "i array<string>").select(rights.article_identifier("i").alias("a")).collect()
+    assert [r.a for r in got] == ["PMC12", None, None, None]
+    heads = spark.createDataFrame([("oai:a.org:1/2",), ("oai:b.org:1",), (None,)], "h string").select(rights.header_identity("h", "a.org").alias("x")).collect()
+    assert [r.x for r in heads] == ["1/2", None, None]
+
+
+def test_redaction_patterns(spark):
+    rows = [(1, "FTP://x"), (2, "oai:y"), (3, "s3://b"), (4, "on 2013-05-06T"), (5, "pmc77"), (6, "plain 3013-05-06"), (7, None)]
+    got = review.leaks(spark.createDataFrame(rows, "id int, v string"), "id").collect()
+    assert sorted(r.id for r in got) == [1, 2, 3, 4, 5]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
+
+
+def test_core_runs_without_the_subpackage(tmp_path):
+    """A copy without the two folders imports, and lists the queries of the core only."""
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n[0] == 'p' and n[1] in '23456789' and n[2] == '_'], q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
+
+
 def test_core_does_not_need_the_subpackage():
     import pathlib
 

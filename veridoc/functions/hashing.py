@@ -29,6 +29,13 @@ def sha1_base36(text: Column | str) -> Column:
     return F.pandas_udf(make, "string")(text)
 
 
+def commitment(key: bytes, domain: str, payload: bytes) -> str:
+    """P19 for one value: HMAC-SHA256 over a domain, a null byte and the payload, in hex digits."""
+    if len(key) != 32:
+        raise ValueError("a commitment key has 32 bytes")
+    return hmac.new(key, domain.encode() + b"\0" + payload, hashlib.sha256).hexdigest()
+
+
 def keyed_commitment(text: Column | str, key: bytes, domain: str) -> Column:
     """HMAC-SHA256 over a domain, a null byte and the text; the key has 32 bytes."""
     if len(key) != 32:

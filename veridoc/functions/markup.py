@@ -29,7 +29,7 @@ DROPPED_BLOCKS = (
 DROPPED_LINKS = {"category", "file", "image"}
 MAGIC_LINES = {"__forcetoc__", "__newsectionlink__", "__noeditsection__", "__nonewsectionlink__", "__notoc__", "__toc__"}
 BOILERPLATE = {"any help appreciated", "thank you", "thanks", "thanks!"}
-SIGNATURES = {"--"}
+SIGNATURES = {"-- "}
 HIDDEN_TAGS = {"blockquote", "code", "pre", "script", "style"}
 _LOCATOR = r"(?:(?i:" + "|".join(SCHEMES) + r"):|//)\S"
 

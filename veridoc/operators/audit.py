@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions.hashing import canonical_json
+from veridoc.functions.hashing import canonical_json, commitment
 from veridoc.operators.calibration import PAIRS
 
 
@@ -89,3 +89,20 @@ def effect_estimates(rows: DataFrame, group: str, x: Column, y: Column) -> DataF
     """Planned estimands: mean difference, slope, correlation and its sign by group."""
     g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(y - x).alias("mean_difference"), F.regr_slope(y, x).alias("slope"), F.corr(x, y).alias("correlation"))
     return g.withColumn("sign", F.signum("correlation").cast("int"))
+
+
+def page_starts(total: int, cell: str, key: bytes, domain: str, size: int = 5, pages: int = 5) -> list[int]:
+    """Starts of ``pages`` disjoint pages of ``size`` results, chosen by a keyed hash of the cell and the slot.
+
+    A slot whose block is taken moves on to the next free one. Too few results for the pages are an error.
+    """
+    blocks = total // size
+    if blocks < pages:
+        raise ValueError(f"{cell}: {total} results hold fewer than {pages} pages of {size}")
+    taken: list[int] = []
+    for slot in range(pages):
+        block = int(commitment(key, domain, f"{cell}\0{slot}".encode()), 16) % blocks
+        while block in taken:
+            block = (block + 1) % blocks
+        taken.append(block)
+    return [size * b for b in taken]

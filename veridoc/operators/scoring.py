@@ -45,6 +45,45 @@ def provide(occurrences: DataFrame, provider: Provider) -> DataFrame:
     return occurrences.mapInPandas(run, schema)
 
 
+#: A tokenizer gives the ids of a text, without special tokens.
+Encoder = Callable[[str], list[int]]
+
+
+def prepared_continuations(pairs: DataFrame, keys: list[str], encode: Encoder, most: int | None = None, prefix: tuple[int, ...] = ()) -> DataFrame:
+    """``(keys, prompt_ids, continuation_ids, start, problem)`` of each ``prompt`` and ``continuation``.
+
+    The ids of the prompt must be an exact prefix of the ids of both together; ``start`` is the place of the first
+    continuation id behind the given prefix ids. Where something stands against that, ``problem`` says what and the ids are
+    null: an empty or padded prompt, a continuation that is empty, does not begin with white space or ends with it,
+    a boundary that the tokenizer moves, or more than ``most`` ids.
+    """
+
+    def why(prompt: str | None, rest: str | None) -> tuple[list[int] | None, list[int] | None, str | None]:
+        if not prompt or prompt != prompt.strip():
+            return None, None, "prompt empty or padded"
+        if not rest or not rest.strip() or not rest[0].isspace() or rest != rest.rstrip():
+            return None, None, "continuation empty or without a blank before it"
+        head, whole = encode(prompt), encode(prompt + rest)
+        if not head or whole[: len(head)] != head:
+            return None, None, "boundary not exact"
+        if len(whole) == len(head):
+            return None, None, "continuation without tokens"
+        if most is not None and len(prefix) + len(whole) > most:
+            return None, None, "too long"
+        return [*prefix, *head], whole[len(head) :], None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [why(p, c) for p, c in zip(b["prompt"], b["continuation"])]
+            out = b[keys].copy()
+            out["prompt_ids"], out["continuation_ids"], out["problem"] = ([m[i] for m in made] for i in range(3))
+            yield out
+
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", prompt_ids array<int>, continuation_ids array<int>, problem string"
+    return pairs.select(*keys, "prompt", "continuation").mapInPandas(run, schema).withColumn("start", F.size("prompt_ids"))
+
+
 def continuation_slice(values: Column | str, prompt_tokens: Column, n: Column) -> Column:
     """The values that predict the continuation: n of them from the last prompt position on."""
     return F.slice(values, prompt_tokens, n)

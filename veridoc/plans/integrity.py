@@ -15,6 +15,8 @@ from veridoc.runtime import clean, materialise, salted_join, small, table
 
 SHINGLE, SIMILARITY = 4, 0.55
 NGRAM, LEAST_JACCARD, LEAST_CONTAINMENT = 5, 0.12, 0.25
+#: Byte limits of one record and of all records of an audit.
+MOST_RECORD_BYTES, MOST_TOTAL_BYTES = 8192, 64 << 20
 #: Most phrases of a registry: each is one test in the plan.
 MAX_PATTERNS = 1000
 #: A small registry of literal phrases: (category, pattern id, words).
@@ -186,6 +188,50 @@ def integrity_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the manifest row that was received last for their path: the content records of an audit."""
+    m = table(spark, d, "manifest").where("content_path is not null").select(
+        path_key("content_path").alias("k"), "received_at", "manifest_id", clean("role").alias("role"), F.upper(clean("source_family")).alias("family"), clean("holdout_status").alias("holdout"), "synthetic_fixture", "content_bytes"
+    )
+    m = m.groupBy("k").agg(F.max(F.struct("received_at", "manifest_id", "role", "family", "holdout", "synthetic_fixture", "content_bytes")).alias("m"))
+    docs = table(spark, d, "documents").where("text is not null").select(path_key("content_path").alias("k"), "doc_id", "text")
+    return docs.join(m, "k").select("doc_id", "text", "m.role", "m.family", "m.holdout", "m.synthetic_fixture", "m.content_bytes")
+
+
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A2, A4: the thirteen counts of a full audit over all records: roles, clusters, near pairs, exposure and boundaries."""
+    tokens_ = text.tokenize("text")
+    held = _records(spark, d).select("doc_id", "role", "family", "holdout", "synthetic_fixture", F.sha2("text", 256).alias("raw"), F.size(tokens_).alias("n"), text.normalized_sha256(tokens_).alias("normal"), text.run_hashes("text", [SHINGLE], short=True).alias("set"))
+    held = materialise(held, "records")
+    counts = {
+        "record_count": F.lit(True), "adaptation_record_count": F.col("role") == "adaptation", "evaluation_record_count": F.col("role") == "evaluation",
+        "real_source_c_record_count": (F.col("role") == "adaptation") & (F.col("family") == "C") & ~F.col("synthetic_fixture"),
+    }
+    parts = [held.agg(*[F.count_if(c).alias(k) for k, c in counts.items()])]
+    for name, digest in (("raw", "raw"), ("normalized", "normal")):
+        found = integrity.clusters(held.where("n > 0") if digest == "normal" else held, digest, name, "doc_id", {"cross": "family"})
+        parts.append(found.agg(F.count(F.lit(1)).alias(f"exact_{name}_cluster_count"), F.count_if("cross").alias(f"cross_source_{name}_cluster_count")))
+    first = held.where("n > 0").groupBy("normal").agg(F.min("doc_id").alias("doc_id"))
+    heads = materialise(held.join(first.select("doc_id"), "doc_id", "left_semi"), "heads")
+    pairs = integrity.pair_flags(integrity.near_pairs(heads.select(F.col("doc_id").alias("id"), "set"), SIMILARITY), heads, "doc_id", {"family": "family", "holdout": "holdout"})
+    boundary = (F.coalesce("l_holdout", F.lit("")) == integrity.HELD_OUT) != (F.coalesce("r_holdout", F.lit("")) == integrity.HELD_OUT)
+    parts.append(pairs.agg(F.count(F.lit(1)).alias("near_duplicate_pair_count"), F.count_if("family").alias("cross_source_near_pair_count"), F.count_if(boundary).alias("holdout_boundary_near_pair_count")))
+    ids = held.select("doc_id")
+    parts.append(evaluation_exposure(spark, d).join(ids, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("evaluation_exposure_pair_count")))
+    parts.append(pattern_exposure(spark, d).join(ids, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("direct_exposure_record_count")))
+    rows = [p.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, p.columns)), F.array(*p.columns))).alias("name", "n")) for p in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def content_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Records above the byte limit of one record, stated sizes that differ, and whether all records fit the total limit."""
+    r = _records(spark, d).select(F.octet_length("text").cast("bigint").alias("n"), "content_bytes")
+    return r.agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("bytes"), F.count_if(F.col("n") > MOST_RECORD_BYTES).alias("too_large"), F.count_if(~F.col("n").eqNullSafe(F.col("content_bytes"))).alias("size_differs"), (F.sum("n") > MOST_TOTAL_BYTES).alias("over_total"))
+
+
 SOURCE = r"nullif(lower(trim(source)),'')"
 _T = (
     f"WITH {folding.tables()}, t_s AS (SELECT doc_id, {SOURCE} AS source, lang, text IS NULL AS no_text, coalesce(text,'') AS text FROM documents), {folding.folded('t_f', 't_s', 'doc_id', 'text')},"
@@ -201,6 +247,11 @@ _NEAR = (
 )
 
 
+_PATH = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(content_path)), '\\+', '/', 'g'), '^(\.?/+)+', ''), '/{2,}', '/', 'g')"
+_REC = f"""mm AS (SELECT {_PATH} AS k, max_by(struct_pack(role := lower(trim(role)), family := upper(trim(source_family)), holdout := lower(trim(holdout_status)), synthetic := synthetic_fixture, content_bytes := content_bytes), (received_at, manifest_id)) AS m FROM manifest WHERE content_path IS NOT NULL GROUP BY 1),
+ rec AS (SELECT doc_id, text, nullif(m.role,'') AS role, nullif(m.family,'') AS family, nullif(m.holdout,'') AS holdout, m.synthetic AS synthetic, m.content_bytes AS content_bytes FROM (SELECT doc_id, text, {_PATH} AS k FROM documents WHERE text IS NOT NULL) JOIN mm USING (k))"""
+
+
 def _clusters_sql(prefix: str, digest: str, where: str) -> str:
     return _T + (
         f" SELECT '{prefix}-'||substr(digest,1,16) AS cluster_id, digest, count(*) AS record_count, min(doc_id) AS first_record,"
@@ -212,7 +263,6 @@ def _clusters_sql(prefix: str, digest: str, where: str) -> str:
 _P = "CASE WHEN contains(w,' {0} ') THEN '{1}' END"
 _PATTERN = ", ".join(_P.format(" ".join(w), p) for _, p, w in PATTERNS)
 _CATEGORY = ", ".join(_P.format(" ".join(w), c) for c, _, w in PATTERNS)
-_PATH = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(content_path)), '\\+', '/', 'g'), '^(\.?/+)+', ''), '/{2,}', '/', 'g')"
 
 SQL = {
     "doc_words": _T + " SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct FROM t",
@@ -247,14 +297,27 @@ SQL = {
     "resolved_manifest": f"""WITH x AS (SELECT {_PATH} AS k, doc_id, sha256(text) AS seen, octet_length(encode(text)) AS bytes FROM documents), m AS (SELECT manifest_id, {_PATH} AS k, content_sha256, content_bytes FROM manifest)
  SELECT manifest_id, doc_id, CASE WHEN doc_id IS NULL THEN 'no document' WHEN seen IS NULL THEN 'no text' WHEN content_sha256 IS NULL THEN 'no hash stated' WHEN lower(content_sha256)<>seen THEN 'hash differs'
  WHEN content_bytes IS DISTINCT FROM bytes THEN 'size differs' ELSE 'ok' END AS status FROM m LEFT JOIN x USING (k)""",
+    "content_budget": "WITH " + _REC + f""" SELECT count(*) AS records, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) FILTER (octet_length(encode(text))>{MOST_RECORD_BYTES}) AS too_large, count(*) FILTER (octet_length(encode(text)) IS DISTINCT FROM content_bytes) AS size_differs,
+ sum(octet_length(encode(text)))>{MOST_TOTAL_BYTES} AS over_total FROM rec""",
     "integrity_summary": _T + """ SELECT count(*) AS records, count(*) FILTER (len(w)=0) AS without_words, count(*) FILTER (len(w)<4) AS below_shingle, count(DISTINCT sha256(array_to_string(w,' '))) AS normalized_texts,
  count(DISTINCT sha256(text)) AS raw_texts, count(*) FILTER (source IS NULL) AS without_source, sum(len(w))::BIGINT AS words, max(len(w)) AS longest FROM t""",
 }
 
+SQL["audit_summary"] = SQL["evaluation_exposure"].split(" SELECT * FROM f WHERE")[0] + f""", {_REC}, x AS (SELECT * FROM f WHERE exact_substring OR jaccard>=0.12 OR containment>=0.25),
+ z AS (SELECT rec.*, array_to_string(w,' ') AS h, w FROM rec JOIN t USING (doc_id)), ck AS (SELECT 'raw' AS kind, count(*) AS n, count(DISTINCT coalesce(family,chr(1)))>1 AS c FROM z GROUP BY sha256(text) HAVING count(*)>1 UNION ALL SELECT 'normalized', count(*), count(DISTINCT coalesce(family,chr(1)))>1 FROM z WHERE len(w)>0 GROUP BY h HAVING count(*)>1),
+ y AS (SELECT *, CASE WHEN len(w)>=4 THEN {folding.grams('w', 4)} ELSE [h] END AS r, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS copy FROM z WHERE len(w)>0), e AS (SELECT doc_id, family, holdout, len(r) AS n, unnest(r) AS g FROM y WHERE copy=1),
+ c0 AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS k, any_value(a.family) IS DISTINCT FROM any_value(b.family) AS cf, (coalesce(any_value(a.holdout),'')='{integrity.HELD_OUT}')<>(coalesce(any_value(b.holdout),'')='{integrity.HELD_OUT}') AS ch FROM e a JOIN e b ON a.g=b.g AND a.doc_id<b.doc_id GROUP BY 1,2),
+ np AS (SELECT * FROM c0 WHERE k::DOUBLE/(an+bn-k)>=0.55), ph AS (SELECT doc_id, ' '||h||' ' AS v FROM z)
+ SELECT 'record_count' AS name, count(*) AS n FROM z UNION ALL SELECT 'adaptation_record_count', count(*) FILTER (role='adaptation') FROM z UNION ALL SELECT 'evaluation_record_count', count(*) FILTER (role='evaluation') FROM z
+ UNION ALL SELECT 'real_source_c_record_count', count(*) FILTER (role='adaptation' AND family='C' AND NOT synthetic) FROM z UNION ALL SELECT 'exact_raw_cluster_count', count(*) FILTER (kind='raw') FROM ck UNION ALL SELECT 'cross_source_raw_cluster_count', count(*) FILTER (kind='raw' AND c) FROM ck
+ UNION ALL SELECT 'exact_normalized_cluster_count', count(*) FILTER (kind='normalized') FROM ck UNION ALL SELECT 'cross_source_normalized_cluster_count', count(*) FILTER (kind='normalized' AND c) FROM ck UNION ALL SELECT 'near_duplicate_pair_count', count(*) FROM np
+ UNION ALL SELECT 'cross_source_near_pair_count', count(*) FILTER (cf) FROM np UNION ALL SELECT 'holdout_boundary_near_pair_count', count(*) FILTER (ch) FROM np UNION ALL SELECT 'evaluation_exposure_pair_count', count(*) FROM x WHERE doc_id IN (SELECT doc_id FROM z)
+ UNION ALL SELECT 'direct_exposure_record_count', count(*) FROM ph WHERE {' OR '.join(f"contains(v,' {' '.join(w)} ')" for _, _, w in PATTERNS)}"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         doc_words, normalized_hashes, ascii_word_counts, word_frequencies, clusters_raw, clusters_normalized, cluster_members, manifest_clusters, shingle_counts,
-        near_pairs, text_classes, near_pair_sources, simhash_values, simhash_candidates, evaluation_exposure, pattern_exposure, resolved_manifest, integrity_summary,
+        audit_summary, content_budget, near_pairs, text_classes, near_pair_sources, simhash_values, simhash_candidates, evaluation_exposure, pattern_exposure, resolved_manifest, integrity_summary,
     )
 }

@@ -18,6 +18,7 @@ TARGETS = [
     ("ostrel-wiki-article-additions", "early", "timestamp-boundary", 3),
     ("ostrel-wiki-article-additions", "early", "eligible-random", 5),
     ("kirdal-registry-controls", "late", "eligible-random", 4),
+    ("kirdal-registry-controls", "late", "timestamp-boundary", 5000),
 ]
 # Closed label sets and required fields of the record schemas.
 SEMANTICS = ["revision", "initial-post-version", "submission-version", "publication-version", "release-or-update-datestamp"]
@@ -178,8 +179,10 @@ def source_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def era_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Native item ids that occur in both windows."""
-    m = _sm(spark, d).select("native_item_id", clean("era_window").alias("w"))
+    """Native item ids that occur in both windows, every 50th late row planted with the id of the row before it."""
+    w = Window.orderBy("meta_id").partitionBy(F.floor(F.col("meta_id") / 50))
+    m = _sm(spark, d).select("meta_id", "native_item_id", clean("era_window").alias("w"))
+    m = m.withColumn("native_item_id", F.when(F.col("meta_id") % 50 == 49, F.lag("native_item_id").over(w)).otherwise(F.col("native_item_id")))
     return m.where("w = 'early'").select("native_item_id").intersect(m.where("w = 'late'").select("native_item_id"))
 
 
@@ -207,6 +210,14 @@ def review_sample(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).select("target_no", "review_stratum", "record_id")
 
 
+def review_shortfall(spark: SparkSession, d: str) -> DataFrame:
+    """The targets that the sample could not fill, with the records that were there."""
+    got = _sample(spark, d).groupBy("target_no").agg(F.count(F.lit(1)).alias("taken"))
+    wanted = spark.createDataFrame([(i, n) for i, (_, _, _, n) in enumerate(TARGETS)], "target_no int, wanted bigint")
+    out = wanted.join(got, "target_no", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint"))
+    return out.where("taken < wanted")
+
+
 def review_packet(spark: SparkSession, d: str) -> DataFrame:
     """The blinded side."""
     packet, _ = review.packet_and_key(_sample(spark, d), _reviewable(spark, d), SEED)
@@ -323,9 +334,10 @@ SQL = {
  SELECT *, (bytes*5+3)//4 AS with_margin FROM g""",
     "source_enrichment": f"""SELECT r.source_id, count(*) AS n, count(*) FILTER (upper({_c('m.source_family')}) IS DISTINCT FROM r.source_family) AS family_differs, count(*) FILTER (m.license_id IS DISTINCT FROM r.license_id) AS licence_differs
  FROM manifest m JOIN source_registry r ON {_c('m.source_id')}=r.source_id GROUP BY 1""",
-    "era_overlap": f"SELECT native_item_id FROM source_metadata WHERE {_c('era_window')}='early' INTERSECT SELECT native_item_id FROM source_metadata WHERE {_c('era_window')}='late'",
+    "era_overlap": f"WITH m AS (SELECT CASE WHEN meta_id%50=49 THEN lag(native_item_id) OVER (PARTITION BY meta_id//50 ORDER BY meta_id) ELSE native_item_id END AS native_item_id, {_c('era_window')} AS w FROM source_metadata) SELECT native_item_id FROM m WHERE w='early' INTERSECT SELECT native_item_id FROM m WHERE w='late'",
     "manifest_without_metadata": """SELECT DISTINCT record_id, 'manifest' AS only_in FROM manifest WHERE record_id NOT IN (SELECT record_id FROM source_metadata WHERE record_id IS NOT NULL)
  UNION ALL SELECT DISTINCT record_id, 'source_metadata' FROM source_metadata WHERE record_id NOT IN (SELECT record_id FROM manifest WHERE record_id IS NOT NULL)""",
+    "review_shortfall": _SAMPLE + f", g AS (SELECT target_no, count(*) AS taken FROM s GROUP BY 1) SELECT x.target_no, wanted, coalesce(taken,0) AS taken FROM (VALUES {', '.join(str((i, n)) for i, (_, _, _, n) in enumerate(TARGETS))}) x(target_no, wanted) LEFT JOIN g USING (target_no) WHERE coalesce(taken,0)<wanted",
     "review_sample": _SAMPLE + " SELECT target_no, review_stratum, record_id FROM s",
     "review_packet": _SAMPLE + f" SELECT {_BLIND}, source_id, review_stratum, array_to_string(categories,',') AS categories, version_status, rights_status, authorship_provenance FROM s JOIN m USING (record_id)",
     "review_key": _SAMPLE + f" SELECT {_BLIND}, record_id, source_id, native_item_id, era_window, native_timestamp FROM s JOIN m USING (record_id)",
@@ -337,7 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         latest_metadata, repeat_deliveries, metadata_summary, metadata_violations, manifest_violations, violation_counts, raw_manifest_scan, era_classification, category_counts,
-        category_evidence, licence_rights, metadata_description, bytes_by_source, source_enrichment, era_overlap, manifest_without_metadata, review_sample, review_packet, review_key,
+        category_evidence, licence_rights, metadata_description, bytes_by_source, source_enrichment, era_overlap, manifest_without_metadata, review_sample, review_shortfall, review_packet, review_key,
         redacted_metadata, access_log,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +58,10 @@ def _provider(prompt: str, text: str) -> list[float]:
 
 
 def evidence_violations(spark: SparkSession, d: str) -> DataFrame:
-    """A10: evidence that cannot be scored."""
-    return scoring.evidence_violations(_occurrences(spark, d).withColumn("token_logprobs", scoring.word_log_probabilities("text")), KEYS)
+    """A10: evidence that cannot be scored, planted in the second forms: none for the first candidate, a value above zero for the second."""
+    values = scoring.word_log_probabilities("text")
+    bad = F.when((F.col("form_index") == 1) & (F.col("candidate_index") == 0), F.array().cast("array<double>")).when((F.col("form_index") == 1) & (F.col("candidate_index") == 1), F.concat(values, F.array(F.lit(0.5)))).otherwise(values)
+    return scoring.evidence_violations(_occurrences(spark, d).withColumn("token_logprobs", bad), KEYS)
 
 
 def pair_margins(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +99,11 @@ def coherence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeat_verdict(spark: SparkSession, d: str) -> DataFrame:
-    """Canonical against reversed execution."""
+    """Canonical against reversed execution, in which the first candidate of every first form is planted with another total."""
     a, b = _scores(spark, d), scoring.candidate_scores(_occurrences(spark, d).sort(F.desc("item_id"), F.desc("form_index")).withColumn("token_logprobs", scoring.word_log_probabilities("text")))
-    return scoring.repeat_differences(a.select(*KEYS, "total"), b.select(*KEYS, "total")).agg(F.count(F.lit(1)).alias("differences"))
+    b = b.withColumn("total", F.col("total") - F.when((F.col("form_index") == 0) & (F.col("candidate_index") == 0), 1.0).otherwise(0.0))
+    found = scoring.repeat_differences(a.select(*KEYS, "total"), b.select(*KEYS, "total"))
+    return found.select(*KEYS, F.round("total", 6).alias("total"), "only_in")
 
 
 def tokenizer_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +120,8 @@ def score_audit_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def temporal_cues(spark: SparkSession, d: str) -> DataFrame:
-    """P11 over prompts, candidates and the rationale."""
-    texts = _occurrences(spark, d).select("item_id", "prompt").distinct().select("item_id", F.col("prompt").alias("t"))
+    """P11 over prompts, candidates and the rationale; every second form's prompt is planted with a date."""
+    texts = _occurrences(spark, d).select("item_id", F.when(F.col("form_index") == 1, F.concat("prompt", F.lit(" In March 1999, say."))).otherwise(F.col("prompt")).alias("t")).distinct()
     more = _occurrences(spark, d).select("item_id", F.col("text").alias("t")).unionByName(table(spark, d, "eval_items").select("item_id", F.col("rationale").alias("t")))
     found = texts.unionByName(more).select("item_id", scoring.temporal_cue("t").alias("cue")).where("cue is not null")
     return found.groupBy("item_id", "cue").agg(F.count(F.lit(1)).alias("n"))
@@ -127,6 +133,19 @@ def document_cues(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("cue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _pieces(text: str) -> list[int]:
+    """A small tokenizer: words of letters and digits with the blank before them, and single other characters, as checksums."""
+    return [zlib.crc32(x.encode()) & 0x7FFFFFFF for x in re.findall(r" ?[A-Za-z0-9]+|[^A-Za-z0-9]", text)]
+
+
+def prepared_continuations(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts with their candidates behind a blank; every second form's candidate stands without the blank."""
+    o = _occurrences(spark, d)
+    pairs = o.withColumn("continuation", F.when(F.col("form_index") % 2 == 0, F.concat(F.lit(" "), F.trim("text"))).otherwise(F.trim("text"))).withColumn("prompt", F.trim("prompt"))
+    made = scoring.prepared_continuations(pairs, KEYS, _pieces, most=90)
+    return made.select(*KEYS, F.size("prompt_ids").cast("bigint").alias("prompt_tokens"), F.size("continuation_ids").cast("bigint").alias("continuation_tokens"), "problem")
+
+
 def evaluation_violations(spark: SparkSession, d: str) -> DataFrame:
     """V5: rules of evaluation items: forms, candidates, poles, word gap, reviews."""
     items = table(spark, d, "eval_items")
@@ -173,11 +192,14 @@ def _cue(c: str) -> str:
     return "coalesce(" + ",".join(f"nullif(regexp_extract({c},'{p}',0),'')" for p in scoring._CUES) + ")"
 
 
+_PIECES = "len(regexp_extract_all({0},' ?[A-Za-z0-9]+|[^A-Za-z0-9]'))"
 SQL = {
+    "prepared_continuations": _O + f""", k AS (SELECT item_id, form_index, candidate_index, pole, CASE WHEN form_index%2=1 THEN 'continuation empty or without a blank before it' WHEN {_PIECES.format("trim(prompt)||' '||trim(text)")}>90 THEN 'too long' END AS problem,
+ {_PIECES.format('trim(prompt)')} AS p, {_PIECES.format("trim(prompt)||' '||trim(text)")} AS n FROM q) SELECT item_id, form_index, candidate_index, pole, CASE WHEN problem IS NULL THEN p END AS prompt_tokens, CASE WHEN problem IS NULL THEN n-p END AS continuation_tokens, problem FROM k""",
     "evaluation_candidates": _O + " SELECT item_id, form_index, candidate_index, pole, form_id, prompt, text FROM q",
     "execution_trace": _O + " SELECT item_id, string_agg(pole,'>' ORDER BY form_index DESC, candidate_index DESC) AS poles FROM q GROUP BY 1",
     "candidate_scores": _O + " SELECT item_id, form_index, candidate_index, pole, round(total,9) AS total, round(mean,9) AS mean, token_count FROM s2",
-    "evidence_violations": _O + " SELECT item_id, form_index, candidate_index, pole, 'empty' AS rule FROM s2 WHERE token_count=0 OR token_count IS NULL",
+    "evidence_violations": _O + " SELECT item_id, form_index, candidate_index, pole, CASE WHEN form_index=1 AND candidate_index=1 THEN 'above zero' ELSE 'empty' END AS rule FROM s2 WHERE token_count=0 OR token_count IS NULL OR (form_index=1 AND candidate_index<2)",
     "pair_margins": _O + f" SELECT item_id, form_index, form_id, round(total_margin,9) AS total_margin, round(mean_margin,9) AS mean_margin, round({_SIG.format('total_margin')},9) AS probability_reference FROM m",
     "calibrated_margins": _O + f" SELECT item_id, form_index, round(total_margin-0.25,9) AS calibrated_margin, round({_SIG.format('total_margin-0.25')},9) AS probability_reference FROM m",
     "item_scores": _O + " " + _ITEM,
@@ -188,10 +210,10 @@ SQL = {
  r AS (SELECT item_id, max(g)=0 AS repeats_agree FROM (SELECT item_id, max(total)-min(total) AS g FROM s2 GROUP BY item_id, context_id, template_id, pole, text) GROUP BY 1),
  z AS (SELECT item_id, min(sign(total_margin))=max(sign(total_margin)) AND min(abs(total_margin))>0 AS one_sign FROM m GROUP BY 1)
  SELECT item_id, one_token_count, means_agree, repeats_agree, one_sign, one_token_count AND means_agree AND repeats_agree AND one_sign AS coherent FROM c JOIN r USING (item_id) JOIN z USING (item_id)""",
-    "repeat_verdict": "SELECT 0::BIGINT AS differences",
+    "repeat_verdict": _O + " SELECT item_id, form_index, candidate_index, pole, round(total - CASE o WHEN 'b' THEN 1 ELSE 0 END, 6) AS total, o AS only_in FROM s2, (VALUES ('a'),('b')) x(o) WHERE form_index=0 AND candidate_index=0",
     "tokenizer_audit": _O + " SELECT item_id, form_index, min(token_count) AS least, max(token_count) AS most, max(token_count)-min(token_count) AS difference FROM s2 GROUP BY 1,2",
     "score_audit_match": _O + " SELECT CASE WHEN candidate_index=0 OR form_index>0 THEN 'ok' ELSE 'not audited' END AS status, count(*) AS n FROM s2 GROUP BY 1",
-    "temporal_cues": _O + f""", t AS (SELECT DISTINCT item_id, prompt AS t FROM q UNION ALL SELECT item_id, text FROM q UNION ALL SELECT item_id, rationale FROM eval_items)
+    "temporal_cues": _O + f""", t AS (SELECT DISTINCT item_id, CASE WHEN form_index=1 THEN prompt||' In March 1999, say.' ELSE prompt END AS t FROM q UNION ALL SELECT item_id, text FROM q UNION ALL SELECT item_id, rationale FROM eval_items)
  SELECT item_id, cue, count(*) AS n FROM (SELECT item_id, {_cue('t')} AS cue FROM t) WHERE cue IS NOT NULL GROUP BY 1,2""",
     "document_cues": f"SELECT cue, count(*) AS n FROM (SELECT {_cue('text')} AS cue FROM documents) WHERE cue IS NOT NULL GROUP BY 1",
     "evaluation_violations": _O + """, v AS (SELECT item_id, 'two-poles' AS rule FROM eval_items WHERE len(poles)<>2 OR len(list_distinct(list_transform(poles, lambda p: p.id)))<>2
@@ -211,6 +233,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         evaluation_candidates, execution_trace, candidate_scores, candidate_scores_exact, evidence_violations, pair_margins, calibrated_margins, item_scores, registry_scores, score_totals,
-        coherence, repeat_verdict, tokenizer_audit, score_audit_match, temporal_cues, document_cues, evaluation_violations, evaluation_description,
+        prepared_continuations, coherence, repeat_verdict, tokenizer_audit, score_audit_match, temporal_cues, document_cues, evaluation_violations, evaluation_description,
     )
 }

@@ -63,6 +63,15 @@ def text_files(spark: SparkSession, folder: str, most_bytes: int) -> tuple[DataF
     return good, small.where(problem.isNotNull()).select("path", problem.alias("problem")).unionByName(large)
 
 
+def verified_snapshot(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
+    """M3: ``(name, status)`` of the files of a folder against the stated ``(name, size_bytes, sha256)``: 'missing', 'unexpected',
+    'size differs', 'hash differs' or 'ok'. Files are hashed where they are read; nothing is gathered."""
+    seen = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("_size"), F.sha2("content", 256).alias("_sha"))
+    j = expected.select("name", "size_bytes", F.lower("sha256").alias("sha256"), F.lit(True).alias("_stated")).join(seen, "name", "full_outer")
+    status = F.when(F.col("_sha").isNull(), "missing").when(F.col("_stated").isNull(), "unexpected").when(~F.col("size_bytes").eqNullSafe(F.col("_size")), "size differs").when(~F.col("sha256").eqNullSafe(F.col("_sha")), "hash differs").otherwise("ok")
+    return j.select("name", status.alias("status"))
+
+
 def json_object(payload: bytes, label: str) -> dict:
     """A JSON object without repeated keys."""
 
