@@ -35,6 +35,8 @@ TRAINING_DOCUMENTS, LABEL_WINDOWS, TRAINING_WINDOWS = 3000, 4096, 900
 _DRAW = 64
 #: Bound of the clean training set; more labelled sentences are an error.
 LABELLED_SENTENCES = 10_000
+#: Number of this way of fitting: saved weights of another number are not read.
+FITTING = 2
 EPOCHS, BATCH, RATE, SEED = 14, 128, 0.01, 5
 #: A segment counts as a full sentence from so many words (Japanese: characters) and this confidence on;
 #: the only sentence of a second language in a document needs more confidence.
@@ -327,7 +329,7 @@ def detector(docs: DataFrame, samples: DataFrame) -> Network:
     clean = [(r["lang"], r["text"]) for r in small(samples.select(language_code("lang").alias("lang"), "text").orderBy("lang", "text"), LABELLED_SENTENCES, "labelled sentences")]
     clean = [x for x in clean if x[0]]
     taken = sorted((r["code"], bytes(r["window"])) for r in training_windows(docs).collect())  # bounded by LABEL_WINDOWS per language
-    key = hashlib.sha256(repr((clean, taken, WINDOW, WIDTHS, FILTERS, TRAINING_WINDOWS, BATCH, RATE, train.__defaults__, BLOCK)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    key = hashlib.sha256(repr((clean, taken, WINDOW, WIDTHS, FILTERS, TRAINING_WINDOWS, BATCH, RATE, train.__defaults__, BLOCK, FITTING)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
     if key not in _FITTED:
         path = f"{shared_dir(spark)}/language-{key}"
         try:
