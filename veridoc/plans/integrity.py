@@ -103,10 +103,10 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _heads(spark: SparkSession, d: str) -> DataFrame:
     """The first document of every distinct normalised text that has words, with its run hashes."""
-    held = tokens(spark, d).where(F.size("tokens") > 0).select("doc_id", "source", "lang", text.normalized_sha256("tokens").alias("digest"), text.run_hashes("text", [SHINGLE], short=True).alias("set"))
-    held = materialise(held, "profiles")
-    first = held.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    return materialise(held.join(first.select("doc_id"), "doc_id", "left_semi"), "heads")
+    words = tokens(spark, d).where(F.size("tokens") > 0).select("doc_id", text.normalized_sha256("tokens").alias("digest"))
+    first = words.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", clean("source").alias("source"), "lang", "text").join(first, "doc_id", "left_semi")
+    return materialise(docs.select("doc_id", "source", "lang", text.run_hashes("text", [SHINGLE], short=True).alias("set")), "heads")
 
 
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
