@@ -68,8 +68,9 @@ def test_mixed_texts_split_into_their_languages(spark, data):
     assert abs(sure / said - right / said) < 0.08
 
 
-def test_weights_are_kept(spark, data, monkeypatch):
-    """The second query with the same rows reads the weights; other rows are trained anew."""
+def test_weights_are_kept(spark, data, monkeypatch, tmp_path):
+    """The second query with the same rows uses the weights, and so does another process with the folder; other rows are trained anew."""
+    store = f"file://{tmp_path}/weights"
     docs, samples = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/lang_samples.parquet")
     calls = []
     plain = language.train
@@ -81,9 +82,10 @@ def test_weights_are_kept(spark, data, monkeypatch):
         return plain(a, b, epochs, seed)
 
     monkeypatch.setattr(language, "train", counted)
-    first = language.detector(docs, samples)
+    first = language.detector(docs, samples, store)
+    assert language.detector(docs, samples) is first
     language._FITTED.clear()
-    again = language.detector(docs, samples)
+    again = language.detector(docs, samples, store)
     assert len(calls) == 1 and all((first.tables[w] == again.tables[w]).all() for w in language.WIDTHS)
     language.detector(docs, samples.where("lang <> 'de'"))
     assert len(calls) == 2

@@ -5,7 +5,7 @@ bytes, max pooling over the window, one softmax layer over the languages and "no
 in numpy on the driver, first on clean labelled sentences, then also on sentences of a bounded
 sample of labelled documents whose label the first network confirms. A filter over one-hot
 bytes is a sum of table rows; for inference rows of neighbouring bytes are added once into
-tables of byte pairs, so a window costs three look-ups per byte. Fitted weights are saved and read again.
+tables of byte pairs, so a window costs three look-ups per byte. Fitted weights can be saved and read again.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions.labels import LANGUAGES, language_code
 from veridoc.functions.text import WORD, fold
-from veridoc.runtime import shared_dir, small
+from veridoc.runtime import small
 
 CODES = list(LANGUAGES)
 NONE = len(CODES)
@@ -319,11 +319,11 @@ def training_windows(docs: DataFrame, most: int = TRAINING_DOCUMENTS, per_label:
 _FITTED: dict[str, Network] = {}
 
 
-def detector(docs: DataFrame, samples: DataFrame) -> Network:
+def detector(docs: DataFrame, samples: DataFrame, store: str | None = None) -> Network:
     """The network for the labelled sentences and a bounded sample of labelled documents.
 
-    It is fitted once: its weights are kept in the process and in the shared folder, under a hash of the
-    training rows, and read from there by any later query or job with the same rows.
+    It is fitted once in a process for the same training rows (by their hash). With ``store``, a folder that
+    outlives the job, its weights are also written there and read by later jobs with the same rows.
     """
     spark = docs.sparkSession
     clean = [(r["lang"], r["text"]) for r in small(samples.select(language_code("lang").alias("lang"), "text").orderBy("lang", "text"), LABELLED_SENTENCES, "labelled sentences")]
@@ -331,16 +331,16 @@ def detector(docs: DataFrame, samples: DataFrame) -> Network:
     taken = sorted((r["code"], bytes(r["window"])) for r in training_windows(docs).collect())  # bounded by LABEL_WINDOWS per language
     key = hashlib.sha256(repr((clean, taken, WINDOW, WIDTHS, FILTERS, TRAINING_WINDOWS, BATCH, RATE, train.__defaults__, BLOCK, FITTING)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
     if key not in _FITTED:
-        path = f"{shared_dir(spark)}/language-{key}"
-        try:
-            saved = spark.read.schema("weights binary").parquet(path).first()
-        except AnalysisException:  # nothing is saved yet
-            saved = None
-        if saved is not None:
-            net = Network.loads(bytes(saved["weights"]))
-        else:
+        net, path = None, f"{(store or '').rstrip('/')}/language-{key}"
+        if store:
+            try:
+                net = Network.loads(bytes(spark.read.schema("weights binary").parquet(path).first()["weights"]))
+            except AnalysisException:  # nothing is saved yet
+                net = None
+        if net is None:
             net = train(clean, taken)
-            spark.createDataFrame([(bytearray(net.dumps()),)], "weights binary").coalesce(1).write.mode("ignore").parquet(path)
+            if store:
+                spark.createDataFrame([(bytearray(net.dumps()),)], "weights binary").coalesce(1).write.mode("ignore").parquet(path)
         _FITTED[key] = net
     return _FITTED[key]
 
