@@ -53,12 +53,12 @@ def test_question_replay(spark):
 
 def test_feeds(spark):
     raw = {r.item_id: r for r in adapters.oai_raw_records(spark, "").collect()}
-    assert raw["1301.00001"].versions_ordered and raw["1301.00001"].license_id == "CC-BY-4.0"
-    assert raw["1301.00002"].versions_ordered is False and raw["1301.00003"].status == "deleted"
+    assert raw["2204.00011"].versions_ordered and raw["2204.00011"].license_id == "CC-BY-4.0"
+    assert raw["2204.00012"].versions_ordered is False and raw["2204.00013"].status == "deleted"
     dc = {r.number: r for r in adapters.oai_dublin_core(spark, "").collect()}
     assert (dc["77"].precision, dc["77"].rights_status) == ("month", "eligible") and dc["78"].rights_status == "unresolved"
     atom = {r.item_id: r.version for r in adapters.atom_entries(spark, "").collect()}
-    assert atom == {"1301.00001": 2, "1807.01234": None}
+    assert atom == {"2204.00011": 2, "1807.01234": None}
     assert {r.file_name for r in adapters.archive_inventory(spark, "").collect()} == {"boats.example.com.7z", "mills.example.com.7z"}
     s = adapters.inventory_summary(spark, "").first()
     assert (s.files, s.bytes, s.with_margin) == (2, 1200, 1500)

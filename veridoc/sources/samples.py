@@ -34,13 +34,13 @@ HISTORY = """<posthistory>
 </posthistory>"""
 
 OAI_RAW = """<OAI-PMH><responseDate>2026-01-01T00:00:00Z</responseDate><ListRecords>
-<record><header><identifier>oai:example.org:1301.00001</identifier><datestamp>2013-02-01</datestamp></header><metadata><raw><id>1301.00001</id>
+<record><header><identifier>oai:example.org:2204.00011</identifier><datestamp>2013-02-01</datestamp></header><metadata><raw><id>2204.00011</id>
 <version version="v1"><date>Tue, 01 Jan 2013 10:00:00 GMT</date></version><version version="v2"><date>Fri, 01 Feb 2013 10:00:00 GMT</date></version>
 <title>On slow tides</title><categories>physics.optics astro-ph.EP</categories><license>http://creativecommons.org/licenses/by/4.0/</license></raw></metadata></record>
-<record><header><identifier>oai:example.org:1301.00002</identifier><datestamp>2013-02-02</datestamp></header><metadata><raw><id>1301.00002</id>
+<record><header><identifier>oai:example.org:2204.00012</identifier><datestamp>2013-02-02</datestamp></header><metadata><raw><id>2204.00012</id>
 <version version="v1"><date>Fri, 01 Feb 2013 10:00:00 GMT</date></version><version version="v2"><date>Tue, 01 Jan 2013 10:00:00 GMT</date></version>
 <title>On fast tides</title><categories>cs.CL</categories></raw></metadata></record>
-<record><header status="deleted"><identifier>oai:example.org:1301.00003</identifier><datestamp>2013-02-03</datestamp></header></record>
+<record><header status="deleted"><identifier>oai:example.org:2204.00013</identifier><datestamp>2013-02-03</datestamp></header></record>
 <resumptionToken>page-2</resumptionToken></ListRecords></OAI-PMH>"""
 
 OAI_DC = """<OAI-PMH><ListRecords>
@@ -51,7 +51,7 @@ OAI_DC = """<OAI-PMH><ListRecords>
 </ListRecords></OAI-PMH>"""
 
 ATOM = """<feed><totalResults>2</totalResults><startIndex>0</startIndex><itemsPerPage>2</itemsPerPage>
-<entry><id>http://arxiv.org/abs/1301.00001v2</id><published>2013-01-01T10:00:00Z</published><updated>2013-02-01T10:00:00Z</updated><title>On slow tides</title><summary>Tides.</summary><author><name>A. Heron</name></author><author><name>B. Teal</name></author><category term="physics.optics"/><category term="astro-ph.EP"/></entry>
+<entry><id>http://arxiv.org/abs/2204.00011v2</id><published>2013-01-01T10:00:00Z</published><updated>2013-02-01T10:00:00Z</updated><title>On slow tides</title><summary>Tides.</summary><author><name>A. Heron</name></author><author><name>B. Teal</name></author><category term="physics.optics"/><category term="astro-ph.EP"/></entry>
 <entry><id>http://arxiv.org/abs/1807.01234</id><published>2018-07-01T10:00:00Z</published><updated>2018-07-01T10:00:00Z</updated><title>On eddies</title><summary>Eddies.</summary><author><name>C. Coot</name></author><category term="cs.CL"/></entry></feed>"""
 
 ARCHIVE = """{"metadata": {"identifier": "exchange-dump", "licenseurl": "https://creativecommons.org/licenses/by-sa/4.0/"}, "files": [
