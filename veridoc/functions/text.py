@@ -102,6 +102,24 @@ def run_hashes(text: Column | str, widths: list[int], short: bool = False) -> Co
     return F.arrow_udf(make, "array<bigint>")(text)
 
 
+def word_digests(text: Column | str) -> Column:
+    """128-bit digests of the words of each text, equal for equal words; null without words."""
+
+    def make(texts: pa.Array) -> pa.Array:
+        if not _HASHER:
+            _HASHER.append(WordHasher())
+        values, out = texts.to_pylist(), []
+        for lo, hi in chunks(values):
+            hashes, counts = _HASHER[0].words(values[lo:hi])
+            at = 0
+            for n in counts.tolist():
+                out.append(hashlib.blake2b(hashes[at : at + n].tobytes(), digest_size=16).digest() if n else None)
+                at += n
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(make, "binary")(text)
+
+
 def normalized(tokens: Column | str) -> Column:
     return F.array_join(tokens, " ")
 

@@ -11,7 +11,7 @@ from veridoc.functions import text
 from veridoc.functions.labels import path_key
 from veridoc.operators import integrity
 from veridoc.plans import folding
-from veridoc.runtime import clean, materialise, salted_join, small, table
+from veridoc.runtime import BROADCAST_BYTES, clean, materialise, salted_join, small, table
 
 SHINGLE, SIMILARITY = 4, 0.55
 NGRAM, LEAST_JACCARD, LEAST_CONTAINMENT = 5, 0.12, 0.25
@@ -101,18 +101,42 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size(integrity.shingles("tokens", SHINGLE)).cast("bigint").alias("n_shingles"), F.size(integrity.shingles("tokens", 10, short=False)).cast("bigint").alias("n_tengrams"))
 
 
+def _first(held: DataFrame, digest: str) -> DataFrame:
+    """``held`` (a written table) restricted to the smallest doc_id of each digest."""
+    return held.join(held.groupBy(digest).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+
+
+def _sets(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
+    """``(id, set)``: the run hashes of the texts of ``ids`` (a written table), computed from the texts at each reading.
+
+    Whichever list of ids is short, this or that of the other documents, goes to the texts; texts move only if both are long.
+    """
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
+    limit = BROADCAST_BYTES // 32
+    if ids.count() <= limit:
+        docs = docs.join(F.broadcast(ids), "id", "left_semi")
+    else:
+        others = materialise(docs.select("id").join(ids, "id", "left_anti").distinct(), "others")
+        docs = docs.join(F.broadcast(others), "id", "left_anti") if others.count() <= limit else docs.join(ids, "id", "left_semi")
+    return docs.select("id", text.run_hashes("text", [SHINGLE], short=True).alias("set"))
+
+
+def _near(spark: SparkSession, d: str, heads: DataFrame) -> DataFrame:
+    """The near pairs of the texts of ``heads`` (a written table)."""
+    return integrity.near_pairs(_sets(spark, d, heads.select(F.col("doc_id").alias("id"))), SIMILARITY, lambda ids: _sets(spark, d, ids))
+
+
 def _heads(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of every distinct normalised text that has words, with its run hashes."""
-    words = tokens(spark, d).where(F.size("tokens") > 0).select("doc_id", text.normalized_sha256("tokens").alias("digest"))
-    first = words.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", clean("source").alias("source"), "lang", "text").join(first, "doc_id", "left_semi")
-    return materialise(docs.select("doc_id", "source", "lang", text.run_hashes("text", [SHINGLE], short=True).alias("set")), "heads")
+    """The first document of every distinct normalised text that has words."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null")
+    held = docs.select("doc_id", clean("source").alias("source"), "lang", text.word_digests("text").alias("digest")).where("digest is not null")
+    return materialise(_first(materialise(held, "digests"), "digest"), "heads")
 
 
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Similar distinct texts, each by its first document; ``text_classes`` gives the copies of each."""
     heads = _heads(spark, d)
-    pairs = integrity.near_pairs(heads.select(F.col("doc_id").alias("id"), "set"), SIMILARITY)
+    pairs = _near(spark, d, heads)
     return integrity.pair_flags(pairs, heads, "doc_id", {"cross_source": "source", "cross_lang": "lang"}).select(
         "left_id", "right_id", "shared_shingles", "left_shingles", "right_shingles", "jaccard", "cross_source", "cross_lang"
     )
@@ -128,7 +152,7 @@ def text_classes(spark: SparkSession, d: str) -> DataFrame:
 def near_pair_sources(spark: SparkSession, d: str) -> DataFrame:
     """A3: near pairs of distinct texts by their sources."""
     heads = _heads(spark, d)
-    pairs = integrity.near_pairs(heads.select(F.col("doc_id").alias("id"), "set"), SIMILARITY)
+    pairs = _near(spark, d, heads)
     return integrity.pair_counts(integrity.pair_flags(pairs, heads, "doc_id", {"cross_source": "source"}), "source")
 
 
@@ -140,7 +164,7 @@ def simhash_values(spark: SparkSession, d: str) -> DataFrame:
 
 def simhash_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Near pairs of distinct texts that share a SimHash band."""
-    pairs = integrity.near_pairs(_heads(spark, d).select(F.col("doc_id").alias("id"), "set"), SIMILARITY)
+    pairs = _near(spark, d, _heads(spark, d))
     found = integrity.simhash_pairs(pairs, simhash_values(spark, d).withColumnRenamed("doc_id", "id"))
     return found.select("left_id", "right_id", "jaccard", "bands")
 

@@ -78,6 +78,12 @@ def small(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
+def few(df: DataFrame, width: int = 32) -> DataFrame:
+    """``df`` marked for a broadcast if it is counted to be small enough."""
+    limit = BROADCAST_BYTES // width
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def _row_bytes(df: DataFrame, columns: list[str]) -> Column:
     """About the bytes that the given columns of a row take in a broadcast table."""
     size = F.lit(96)
