@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridoc.operators import integrity, prefixes
+from veridoc.plans import integrity as plans
 
 
 def _templates(n: int) -> list[list[int]]:
@@ -52,3 +53,25 @@ def test_packed_counts_come_back():
     x = np.array([0, 5, 6, 2**32 - 1], np.uint32)
     assert (prefixes.fingerprints(prefixes._steps(x), 4) == x).all()
     assert (prefixes._unpack(prefixes._pack(x), 4, np.uint32) == x).all()
+
+
+def _written(monkeypatch, query, spark, data) -> int:
+    """Rows with the runs of a document that a query writes."""
+    rows = []
+    for module in (plans, integrity):
+        plain = module.materialise
+
+        def counted(df, name="stage", plain=plain):
+            out = plain(df, name)
+            if name != "items" and {"set", "runs"} & set(out.columns) and name != "frequency":
+                rows.append(out.count())
+            return out
+
+        monkeypatch.setattr(module, "materialise", counted)
+    query(spark, data).collect()
+    return sum(rows)
+
+
+def test_audit_writes_only_sets_of_likely_pairs(spark, data, monkeypatch):
+    """All records with their sets, and the heads once more, were written before."""
+    assert _written(monkeypatch, plans.audit_summary, spark, data) < spark.read.parquet(f"{data}/documents.parquet").count() / 2

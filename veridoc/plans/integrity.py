@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
@@ -212,32 +212,29 @@ def integrity_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the manifest row that was received last for their path: the content records of an audit."""
+def _records(spark: SparkSession, d: str, *facts: Column) -> DataFrame:
+    """Facts of the documents with the manifest row that was received last for their path: the content records of an audit."""
     m = table(spark, d, "manifest").where("content_path is not null").select(
         path_key("content_path").alias("k"), "received_at", "manifest_id", clean("role").alias("role"), F.upper(clean("source_family")).alias("family"), clean("holdout_status").alias("holdout"), "synthetic_fixture", "content_bytes"
     )
     m = m.groupBy("k").agg(F.max(F.struct("received_at", "manifest_id", "role", "family", "holdout", "synthetic_fixture", "content_bytes")).alias("m"))
-    docs = table(spark, d, "documents").where("text is not null").select(path_key("content_path").alias("k"), "doc_id", "text")
-    return docs.join(m, "k").select("doc_id", "text", "m.role", "m.family", "m.holdout", "m.synthetic_fixture", "m.content_bytes")
+    docs = table(spark, d, "documents").where("text is not null").select(path_key("content_path").alias("k"), "doc_id", *facts)
+    return docs.join(m, "k").select("doc_id", *[c for c in docs.columns if c not in ("k", "doc_id")], "m.role", "m.family", "m.holdout", "m.synthetic_fixture", "m.content_bytes")
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     """A2, A4: the thirteen counts of a full audit over all records: roles, clusters, near pairs, exposure and boundaries."""
-    tokens_ = text.tokenize("text")
-    held = _records(spark, d).select("doc_id", "role", "family", "holdout", "synthetic_fixture", F.sha2("text", 256).alias("raw"), F.size(tokens_).alias("n"), text.normalized_sha256(tokens_).alias("normal"), text.run_hashes("text", [SHINGLE], short=True).alias("set"))
-    held = materialise(held, "records")
+    held = materialise(_records(spark, d, F.sha2("text", 256).alias("raw"), F.hex(text.word_digests("text")).alias("normal")).drop("content_bytes"), "records")
     counts = {
         "record_count": F.lit(True), "adaptation_record_count": F.col("role") == "adaptation", "evaluation_record_count": F.col("role") == "evaluation",
         "real_source_c_record_count": (F.col("role") == "adaptation") & (F.col("family") == "C") & ~F.col("synthetic_fixture"),
     }
     parts = [held.agg(*[F.count_if(c).alias(k) for k, c in counts.items()])]
     for name, digest in (("raw", "raw"), ("normalized", "normal")):
-        found = integrity.clusters(held.where("n > 0") if digest == "normal" else held, digest, name, "doc_id", {"cross": "family"})
+        found = integrity.clusters(held, digest, name, "doc_id", {"cross": "family"})
         parts.append(found.agg(F.count(F.lit(1)).alias(f"exact_{name}_cluster_count"), F.count_if("cross").alias(f"cross_source_{name}_cluster_count")))
-    first = held.where("n > 0").groupBy("normal").agg(F.min("doc_id").alias("doc_id"))
-    heads = materialise(held.join(first.select("doc_id"), "doc_id", "left_semi"), "heads")
-    pairs = integrity.pair_flags(integrity.near_pairs(heads.select(F.col("doc_id").alias("id"), "set"), SIMILARITY), heads, "doc_id", {"family": "family", "holdout": "holdout"})
+    heads = materialise(_first(held.where("normal is not null"), "normal"), "heads")
+    pairs = integrity.pair_flags(_near(spark, d, heads), heads, "doc_id", {"family": "family", "holdout": "holdout"})
     boundary = (F.coalesce("l_holdout", F.lit("")) == integrity.HELD_OUT) != (F.coalesce("r_holdout", F.lit("")) == integrity.HELD_OUT)
     parts.append(pairs.agg(F.count(F.lit(1)).alias("near_duplicate_pair_count"), F.count_if("family").alias("cross_source_near_pair_count"), F.count_if(boundary).alias("holdout_boundary_near_pair_count")))
     ids = held.select("doc_id")
@@ -252,7 +249,7 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def content_budget(spark: SparkSession, d: str) -> DataFrame:
     """Records above the byte limit of one record, stated sizes that differ, and whether all records fit the total limit."""
-    r = _records(spark, d).select(F.octet_length("text").cast("bigint").alias("n"), "content_bytes")
+    r = _records(spark, d, F.octet_length("text").cast("bigint").alias("n"))
     return r.agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("bytes"), F.count_if(F.col("n") > MOST_RECORD_BYTES).alias("too_large"), F.count_if(~F.col("n").eqNullSafe(F.col("content_bytes"))).alias("size_differs"), (F.sum("n") > MOST_TOTAL_BYTES).alias("over_total"))
 
 
