@@ -75,3 +75,8 @@ def _written(monkeypatch, query, spark, data) -> int:
 def test_audit_writes_only_sets_of_likely_pairs(spark, data, monkeypatch):
     """All records with their sets, and the heads once more, were written before."""
     assert _written(monkeypatch, plans.audit_summary, spark, data) < spark.read.parquet(f"{data}/documents.parquet").count() / 2
+
+
+def test_simhash_pairs_write_only_sets_of_likely_pairs(spark, data, monkeypatch):
+    """The runs of all documents, as text, and the sets of all heads were written before."""
+    assert _written(monkeypatch, plans.simhash_candidates, spark, data) < spark.read.parquet(f"{data}/documents.parquet").count() / 2

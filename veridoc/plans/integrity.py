@@ -11,7 +11,7 @@ from veridoc.functions import text
 from veridoc.functions.labels import path_key
 from veridoc.operators import integrity
 from veridoc.plans import folding
-from veridoc.runtime import BROADCAST_BYTES, clean, materialise, salted_join, small, table
+from veridoc.runtime import BROADCAST_BYTES, clean, few, materialise, salted_join, small, table
 
 SHINGLE, SIMILARITY = 4, 0.55
 NGRAM, LEAST_JACCARD, LEAST_CONTAINMENT = 5, 0.12, 0.25
@@ -164,8 +164,11 @@ def simhash_values(spark: SparkSession, d: str) -> DataFrame:
 
 def simhash_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Near pairs of distinct texts that share a SimHash band."""
-    pairs = _near(spark, d, _heads(spark, d))
-    found = integrity.simhash_pairs(pairs, simhash_values(spark, d).withColumnRenamed("doc_id", "id"))
+    pairs = materialise(_near(spark, d, _heads(spark, d)), "pairs")
+    needed = few(pairs.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct())
+    docs = table(spark, d, "documents").join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), text.tokenize("text").alias("tokens"))
+    hashes = docs.select("id", integrity.shingles("tokens", SHINGLE).alias("runs")).select("id", integrity.simhash64("runs").alias("simhash"))
+    found = integrity.simhash_pairs(pairs, hashes)
     return found.select("left_id", "right_id", "jaccard", "bands")
 
 
